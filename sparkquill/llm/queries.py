@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquill.llm import decontaminate
+from sparkquill.llm import decontaminate, packing, token_files
 from sparkquill.session import table
 
 
@@ -12,8 +12,19 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json", drops_space=True)
+    return token_files.read_files(files)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", drops_space=False)
+
+
 QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_token_files": op3_token_files,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLES = {
