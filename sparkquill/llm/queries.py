@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquill.llm import decontaminate, near_dup, packing, quality, token_files
+from sparkquill.llm import decontaminate, near_dup, packing, pii, quality, site_style, token_files
 from sparkquill.session import table
 
 
@@ -17,6 +17,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(files)
 
 
+def op6_site_style_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +40,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_files": op3_token_files,
+    "op6_site_style_extraction": op6_site_style_extraction,
+    "op7_personal_data": op7_personal_data,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
