@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquill.llm import decontaminate, near_dup, packing, pii, quality, site_style, token_files
+from sparkquill.llm import decontaminate, media, near_dup, packing, pii, quality, site_style, token_files
 from sparkquill.session import table
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +42,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media_columns": op1_media_columns,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_files": op3_token_files,
     "op6_site_style_extraction": op6_site_style_extraction,
