@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquill.llm import decontaminate, media, near_dup, packing, pii, quality, site_style, token_files
+from sparkquill.llm import decontaminate, language, licences, media, near_dup, packing, pii, quality, site_style, token_files
 from sparkquill.session import table
 
 
@@ -21,6 +21,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(files)
 
 
+def op4_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op5_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_site_style_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.main_text(table(spark, sf_dir, "pages"))
 
@@ -45,6 +53,8 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_files": op3_token_files,
+    "op4_language_fusion": op4_language_fusion,
+    "op5_licence_digests": op5_licence_digests,
     "op6_site_style_extraction": op6_site_style_extraction,
     "op7_personal_data": op7_personal_data,
     "op8_quality_classifier": op8_quality_classifier,
@@ -53,6 +63,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_licence_digests": licences.sql(),
     "op2_benchmark_decontamination": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
         b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
