@@ -3,7 +3,8 @@
 Both public tokenizers split a text before any merge, and never across the white space that stands
 between two words. A text's ids are therefore the concatenated ids of its chunks (runs of white space
 with what follows them, or words alone where white space is dropped). Each worker keeps a bounded
-table from chunk to ids, so the library encodes each distinct chunk once rather than each occurrence.
+table from chunk to ids in two generations, so the library encodes a chunk that recurs once rather
+than each time.
 Texts with unusual white space, where chunks could depend on their neighbours, are encoded whole.
 """
 
@@ -15,12 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries of a worker's table, and the longest chunk it keeps.
-CACHE_ENTRIES, CACHE_CHUNK = 300_000, 64
+#: Entries of each generation of a worker's table, and the longest chunk it keeps.
+CACHE_ENTRIES, CACHE_CHUNK = 500_000, 64
 #: Characters that are encoded together.
 BATCH_CHARS = 1 << 20
 
-_WORDS = re.compile(r"[^ \t\n\r\f\v]+")
 _CHUNKS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -35,28 +35,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space = drops_space
-        self.table: dict[str, bytes] = {}
+        self.table: dict[str | bytes, bytes] = {}
+        self.old: dict[str | bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Without the table."""
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _split(self, text: str) -> list[str]:
+    def _split(self, text: str) -> list:
         if self.drops_space:
-            return _WORDS.findall(text)
+            # These tokenizers lower-case; A-Z done beforehand makes more chunks equal.
+            return text.encode().lower().split()
         return [text] if _UNUSUAL.search(text) else _CHUNKS.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._split(x) for x in texts]
         new = set().union(*split)
-        new.difference_update(self.table)
-        if len(self.table) + len(new) > CACHE_ENTRIES:
-            self.table.clear()
-            new = set().union(*split)
-        fresh = list(new)
-        table = self.table
+        if len(self.table) > CACHE_ENTRIES:
+            self.table, self.old = {}, self.table
+        table, old = self.table, self.old
+        new.difference_update(table)
+        kept = new.intersection(old)
+        table.update((x, old[x]) for x in kept)
+        fresh = list(new - kept)
         once = {}
-        for chunk, ids in zip(fresh, self.whole(fresh), strict=True):
+        for chunk, ids in zip(fresh, self.whole([x.decode() for x in fresh] if self.drops_space else fresh), strict=True):
             (table if len(chunk) <= CACHE_CHUNK else once)[chunk] = ids
         if once:
             table = table | once
