@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "m0_unigram_code_length_by_lang"
+from sparkquill.plans import token_queries
+
+FLAGSHIP = "a3_fertility"
+MODULES = (token_queries,)
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
