@@ -27,20 +27,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 4_000
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 17, 8, (3, 4)
 THRESHOLD, FOLDS = 0.3, 5
-_WORD_TABLE = 300_000
+_WORD_TABLE = 500_000
 _REPEATED = 0  # the bucket of the repetition mark
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word and of its character n-grams."""
-    marked = f"<{word}>".encode("utf-8", "surrogatepass") if word.isascii() else f"<{word}>"
-    parts = [marked] + [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
-    if isinstance(marked, str):
-        parts = [x.encode("utf-8", "surrogatepass") for x in parts]
-    return [1 + zlib.crc32(x) % (BUCKETS - 1) for x in parts]
+_ODD = np.cumprod(np.full(8, 0x9E3779B97F4A7C15, np.uint64)) | np.uint64(1)
+
+
+def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h + np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (1 + (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) % np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their character n-grams, and which word each is of."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(codes)) - starts[owner]
+    powers = np.cumprod(np.full(int(sizes.max()), 0x100000001B3, np.uint64))
+    buckets, owners = [_bucket(np.add.reduceat(codes * powers[at], starts), 1)], [np.arange(len(words))]
+    left = sizes[owner] - at
+    for n in NGRAMS:
+        i = np.flatnonzero(left >= n)
+        buckets.append(_bucket(sum(codes[i + j] * _ODD[j] for j in range(n)), 1 + n))
+        owners.append(owner[i])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,22 +79,23 @@ class Model:
         return float(z[1] / z.sum())
 
 
-def _bag(text: str, table: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    words, found = (text or "").split(), []
-    for word in words:
-        got = table.get(word)
-        if got is None:
-            got = table[word] = features(word)
-        found.extend(got)
-    found.extend([_REPEATED] * sum(a == b for a, b in zip(words, words[1:], strict=False)))
-    buckets, count = np.unique(np.array(found, np.int64), return_counts=True)
-    return buckets, (count / max(1, len(found))).astype(np.float32)
+def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and each one's share of all its features."""
+    words = (text or "").split()
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.float32)
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    times = np.bincount([number[w] for w in words])
+    buckets, owner = features(list(number))
+    repeated = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    distinct, where = np.unique(np.append(buckets, _REPEATED), return_inverse=True)
+    count = np.bincount(where, np.append(times[owner], repeated))
+    return distinct, (count / count.sum()).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], visits: int = 24_000, batch: int = 16, rate: float = 0.5, seed: int = 11) -> Model:
+def train(texts: list[str], labels: list[int], visits: int = 16_000, batch: int = 16, rate: float = 0.5, seed: int = 11) -> Model:
     """Fit vectors and output; ``visits`` is about how many documents are looked at in all."""
-    table: dict[str, list[int]] = {}
-    bags = [_bag(x, table) for x in texts]
+    bags = [_bag(x) for x in texts]
     y = np.array(labels, np.int64)
     draw = np.random.default_rng(seed)
     vectors = draw.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -132,26 +149,37 @@ def _scorer(model: Model):
     table, (sums,) = _TABLES[model.key]
     repeated = np.append(model.scores[_REPEATED], 1).astype(np.float64)
 
-    def score(text: str | None) -> float:
+    def learn(words: list[str]) -> None:
         nonlocal sums
+        new = list(set(words).difference(table))
+        if not new:
+            return
+        if len(table) + len(new) > _WORD_TABLE:
+            table.clear()
+            new = list(set(words))
+        first = len(table)
+        table.update(zip(new, range(first, first + len(new)), strict=True))
+        while len(table) > len(sums):
+            sums = np.concatenate((sums, np.zeros_like(sums)))
+            _TABLES[model.key][1][0] = sums
+        buckets, owner = features(new)
+        order = np.argsort(owner, kind="stable")
+        ends = np.cumsum(np.bincount(owner))
+        scores = model.scores[buckets[order]].astype(np.float64)
+        sums[first : first + len(new), :2] = np.add.reduceat(scores, np.concatenate(([0], ends[:-1])))
+        sums[first : first + len(new), 2] = np.bincount(owner)
+
+    def score(text: str | None) -> float:
         words = (text or "").split()
         try:
             at = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
         except KeyError:
-            if len(table) > _WORD_TABLE:
-                table.clear()
-            for word in set(words).difference(table):
-                k = table[word] = len(table)
-                if k == len(sums):
-                    sums = np.concatenate((sums, np.zeros_like(sums)))
-                    _TABLES[model.key][1][0] = sums
-                got = features(word)
-                sums[k, :2] = model.scores[got].sum(0, dtype=np.float64)
-                sums[k, 2] = len(got)
+            learn(words)
             at = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
         # Counts first: a fixed order of additions gives equal texts equal scores in every worker.
         return model.probability(sums[at].sum(0) + repeated * (at[1:] == at[:-1]).sum())
 
+    score.learn = learn
     return score
 
 
@@ -163,7 +191,10 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     def scored(batches):
         of = _scorer(model)
         for batch in batches:
-            values = np.array([of(x) for x in batch.column("text").to_pylist()], np.float64)
+            texts = batch.column("text").to_pylist()
+            for k in range(0, len(texts), 256):
+                of.learn([w for x in texts[k : k + 256] for w in (x or "").split()])
+            values = np.array([of(x) for x in texts], np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     return documents.mapInArrow(scored, schema)

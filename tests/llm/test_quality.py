@@ -47,7 +47,7 @@ def test_scores_are_the_plain_average_of_vectors():
     for _, text, _ in rows[:20]:
         found, words = [], text.split()
         for k, w in enumerate(words):
-            found += quality.features(w) + [0] * (k > 0 and words[k - 1] == w)
+            found += quality.features([w])[0].tolist() + [0] * (k > 0 and words[k - 1] == w)
         z = model.scores[found].mean(0, dtype=np.float64) + model.bias
         assert scored(text) == pytest.approx(float(np.exp(z[1]) / np.exp(z).sum()), abs=1e-6)
 
