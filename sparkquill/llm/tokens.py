@@ -12,17 +12,35 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Entries of each generation of a worker's table, and the longest chunk it keeps.
 CACHE_ENTRIES, CACHE_CHUNK = 500_000, 64
 #: Characters that are encoded together.
 BATCH_CHARS = 1 << 20
 
-_CHUNKS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_CHUNKS = re.compile(r"[ \t\n\r]*[^ \t\n\r\0]+|[ \t\n\r]+")
+#: A letter or digit and a sign are never in one piece, so chunks end between them too.
+_JOINT, _JOINT_BYTES = re.compile(r"([A-Za-z0-9])(?=[,.!?;:*#%&$|])"), re.compile(rb"([a-z0-9])(?=[,.!?;:*#%&$|])")
+_UNUSUAL = re.compile("[\0\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _byte_level() -> dict[int, str]:
+    """Byte-level tokenizers' letters for bytes: printing ones stand for themselves, others from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(prints))}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class Encoder:
@@ -40,13 +58,33 @@ class Encoder:
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Without the table."""
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_packed(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _split(self, text: str) -> list:
         if self.drops_space:
             # These tokenizers lower-case; A-Z done beforehand makes more chunks equal.
-            return text.encode().lower().split()
-        return [text] if _UNUSUAL.search(text) else _CHUNKS.findall(text)
+            return _JOINT_BYTES.sub(rb"\1 ", text.encode().lower()).split()
+        return [text] if _UNUSUAL.search(text) else _CHUNKS.findall(_JOINT.sub("\\1\0", text))
+
+    def _pieces(self, chunks: list) -> list[bytes]:
+        """Ids of chunks; those of letters alone are one piece each, and go straight to the model."""
+        out: list[bytes | None] = [None] * len(chunks)
+        model = self.tokenizer.model.tokenize
+        rest = []
+        for k, chunk in enumerate(chunks):
+            if self.drops_space:
+                word = chunk.decode() if chunk.isalpha() else None
+            else:
+                letters = chunk[1:] if chunk[0] == " " else chunk
+                word = chunk.encode().decode("latin-1").translate(_BYTE_LEVEL) if letters.isalpha() and max(letters) < "\u0250" else None
+            if word is None:
+                rest.append(k)
+            else:
+                out[k] = _packed([x.id for x in model(word)])
+        left = [chunks[k].decode() if self.drops_space else chunks[k] for k in rest]
+        for k, ids in zip(rest, self.whole(left), strict=True):
+            out[k] = ids
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._split(x) for x in texts]
@@ -59,7 +97,7 @@ class Encoder:
         table.update((x, old[x]) for x in kept)
         fresh = list(new - kept)
         once = {}
-        for chunk, ids in zip(fresh, self.whole([x.decode() for x in fresh] if self.drops_space else fresh), strict=True):
+        for chunk, ids in zip(fresh, self._pieces(fresh), strict=True):
             (table if len(chunk) <= CACHE_CHUNK else once)[chunk] = ids
         if once:
             table = table | once
