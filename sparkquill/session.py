@@ -61,6 +61,12 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for work that costs far more than moving them, where the input has fewer splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable in the executors' Python workers (once for each application)."""
     app = spark.sparkContext.applicationId
