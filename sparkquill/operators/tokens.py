@@ -82,7 +82,7 @@ def bitmap_ids(bitmaps: DataFrame, *keys: str) -> DataFrame:
     spots = bitmaps.select(*keys, "bucket", F.posexplode(F.regexp_extract_all(F.hex("bitmap"), F.lit(".."), F.lit(0))).alias("byte", "value")).where(F.col("value") != "00")
     bits = spots.select(*keys, "bucket", "byte", F.conv("value", 16, 10).cast("int").alias("value"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
     bits = bits.where(F.getbit("value", F.col("bit")) == 1)
-    return bits.select(*keys, ((F.col("bucket") - 1) * 32768 + F.col("byte") * 8 + F.col("bit") + 1).cast("bigint").alias("id"))
+    return bits.select(*keys, F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + F.col("byte") * 8 + F.col("bit") + 1).otherwise(0).cast("bigint").alias("id"))
 
 
 def normalised_candidates(ids: Column, size: int) -> Column:

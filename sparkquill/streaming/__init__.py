@@ -14,6 +14,11 @@ def document_stream(spark: SparkSession, path: str, schema, files_per_trigger: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """Streams need a watermark, and that needs instants; batches stay as they are."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def encode_stream(docs: DataFrame, model: codecs.CharModel, out: str, checkpoint: str) -> StreamingQuery:
     """Encode arriving documents with a frozen model; a document that is done stays as it is."""
 
@@ -29,13 +34,11 @@ def encode_stream(docs: DataFrame, model: codecs.CharModel, out: str, checkpoint
 
 def window_bytes(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Events, bytes and values by type in tumbling or sliding windows; later ones than ``late`` are dropped."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
     by = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return marked.groupBy(by.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("props")).alias("n_bytes"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "n_bytes", "total")
+    return _marked(events, late).groupBy(by.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("props")).alias("n_bytes"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "n_bytes", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """A user's events with no gap longer than ``gap`` between them."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
-    out = marked.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
-    return out.select("user_id", F.col("w.start").alias("start"), "last", "n")
+    out = _marked(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").cast("timestamp_ntz").alias("last"))
+    return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "last", "n")
