@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkquill.session import stored
+
 
 def characters(text: Column) -> Column:
     """The characters of a text, in order."""
@@ -58,17 +60,31 @@ def lane_length(lane: Column, total: Column, number: int) -> Column:
     return (F.floor(total / number) + (lane < total % number).cast("bigint")).cast("bigint")
 
 
+def numbered(rows: DataFrame, *order: str | Column, name: str = "id") -> DataFrame:
+    """Rows with their place in a total order, from 0, without bringing them together.
+
+    They are dealt into ranges and numbered there; each range then starts after those before it.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at")), "numbered")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each range.
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def vocabulary(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, token, dense_id): the distinct tokens in order, numbered from 0."""
-    distinct = rows.select(*keys, "token").distinct()
-    w = Window.partitionBy(*keys).orderBy("token") if keys else Window.orderBy("token")
-    return distinct.select(*keys, "token", (F.row_number().over(w) - 1).alias("dense_id"))
+    ids = numbered(rows.select(*keys, "token").distinct(), *keys, "token")
+    if keys:
+        ids = ids.join(ids.groupBy(*keys).agg(F.min("id").alias("_first")), list(keys)).withColumn("id", F.col("id") - F.col("_first"))
+    return ids.select(*keys, "token", F.col("id").cast("int").alias("dense_id"))
 
 
 def by_frequency(rows: DataFrame) -> DataFrame:
     """(token, n, id): numbered from the most frequent, ties by first occurrence."""
     counted = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
-    return counted.select("token", "n", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("id"))
+    return numbered(counted, F.desc("n"), F.col("first")).select("token", "n", F.col("id").cast("int").alias("id"))
 
 
 def bitmap(ids: DataFrame, *keys: str) -> DataFrame:
