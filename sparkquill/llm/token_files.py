@@ -148,7 +148,8 @@ def write_files(documents: DataFrame, tokenizer: str, drops_space: bool, id_byte
         if docs:
             yield row()
 
-    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Ranges are of ids alone: their sample, which the driver gathers, then holds no texts.
+    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(pack, _FILES), name)
 
 
