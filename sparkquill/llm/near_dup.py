@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquill.llm.components import components
+from sparkquill.llm.tables import keep_only
 from sparkquill.session import stored
 
 SHINGLE, PERCENT = 5, 85
@@ -39,7 +40,7 @@ BANDS, ROWS = 36, 6
 TASK_SHINGLES = 1 << 20
 #: Bytes of candidate rows that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-_WORD_TABLE = 400_000
+_WORD_TABLE = 300_000
 _U = np.uint64
 
 
@@ -162,6 +163,7 @@ _SKETCH = "rid long, doc_id long, n long, digest binary, keys array<long>"
 
 def _sketches(documents: DataFrame) -> DataFrame:
     def sketch(batches):
+        keep_only("near_dup", _worker.cache_clear)
         shingler, bands = _worker()
         for batch in batches:
             n, digest, keys = [], [], []
@@ -273,6 +275,7 @@ def near_duplicates(documents: DataFrame, task_shingles: int = TASK_SHINGLES, br
     probe = F.broadcast(members) if totals["rows"] * 128 <= broadcast_bytes else members
 
     def shingles(batches):
+        keep_only("near_dup", _worker.cache_clear)
         shingler, _ = _worker()
         for batch in batches:
             sets = []

@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkquill.llm.tables import keep_only
+
 TRAIN_ROWS = 4_000
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 17, 8, (3, 4)
 THRESHOLD, FOLDS = 0.3, 5
-_WORD_TABLE = 500_000
+_WORD_TABLE = 400_000
 _REPEATED = 0  # the bucket of the repetition mark
 
 
@@ -143,6 +145,7 @@ _TABLES: dict[str, tuple[dict[str, int], list]] = {}
 
 def _scorer(model: Model):
     """Sums of class scores by word, kept for the worker's life; one model's at a time."""
+    keep_only("quality", _TABLES.clear)
     if model.key not in _TABLES:
         _TABLES.clear()
         _TABLES[model.key] = ({}, [np.zeros((1024, 3), np.float64)])

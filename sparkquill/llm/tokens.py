@@ -16,6 +16,8 @@ import sys
 from array import array
 from functools import lru_cache
 
+from sparkquill.llm.tables import keep_only
+
 #: Entries of each generation of a worker's table, and the longest chunk it keeps.
 CACHE_ENTRIES, CACHE_CHUNK = 500_000, 64
 #: Characters that are encoded together.
@@ -123,7 +125,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(2)
+@lru_cache(1)
+def _encoder(path: str, drops_space: bool) -> Encoder:
+    return Encoder(path if os.path.sep in path else vocabulary(path), drops_space)
+
+
 def encoder(path: str, drops_space: bool) -> Encoder:
     """One for each worker process. ``path`` is a file, or a name of the public tokenizers package."""
-    return Encoder(path if os.path.sep in path else vocabulary(path), drops_space)
+    keep_only("tokens", _encoder.cache_clear)
+    return _encoder(path, drops_space)
