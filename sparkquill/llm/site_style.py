@@ -16,8 +16,9 @@ The tree is made by aggregation (host, path and block hash; nothing of a host is
 and only the paths it removes are sent back to the pages, in slices below a checked broadcast size.
 
 Defined results: null and empty pages have an empty text. A null or hostless url counts as the host
-``""``. Equal pages count as often as they occur; repeated ``page_id``s each give a row. Further columns
-are ignored. Text is never cut.
+``""``. Pages of a host with the same blocks at the same paths count once in its tree, so copies make no
+page boilerplate; each still has its row, as repeated ``page_id``s have. Further columns are ignored. Text
+is never cut.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,40 +81,86 @@ def _host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
+_PAGES = "host string, digest binary, landmark boolean, paths array<string>, styles array<boolean>, features array<int>"
 _NODES = "host string, path string, landmark boolean, style boolean, feature int, n long"
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, m, presentation, content, importance) of every element that says nothing of its role."""
-
-    def nodes(batches):
+def page_nodes(found: list[Block]) -> tuple[bool, list[tuple[str, bool, int]]]:
+    """Whether a page has a landmark, and its (path, style, feature): arrangements and texts of elements."""
+    seen = set()
+    landmark = any(e.tag in LANDMARKS for b in found for e in b.parents)
+    children: dict[str, list[str]] = {}
+    for b in found:
+        inside = False
+        for k, e in enumerate(b.parents):
+            r = role(e, inside)
+            if r is not None:
+                break
+            below = b.parents[k + 1].name if k + 1 < len(b.parents) else "#text"
+            kids = children.setdefault(e.path, [])
+            if not kids or kids[-1] != below:
+                kids.append(below)
+            if k == len(b.parents) - 1:
+                seen.add((e.path, False, hash_of(b.text)))
+    seen.update((path, True, hash_of("/".join(kids))) for path, kids in children.items())
+    return landmark, list(seen)
+
+
+def page_digest(found: list[Block]) -> bytes:
+    """Names a page's blocks with their paths."""
+    h = xxhash.xxh3_128()
+    for b in found:
+        for x in (b.parents[-1].path if b.parents else "", b.text):
+            h.update(x.encode("utf-8", "surrogatepass"))
+            h.update(b"\0")
+    return h.digest()
+
+
+def style_tree(pages: DataFrame, distinct: bool = False) -> DataFrame:
+    """(host, path, m, presentation, content, importance) of every element that says nothing of its role.
+
+    ``distinct`` counts the pages of a host that have the same blocks at the same paths once.
+    """
+
+    def read(batches):
+        met = set()  # copies within a task are not sent
         for batch in batches:
-            count: Counter = Counter()
+            rows = []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                found, seen = blocks(html), set()
-                landmark = any(e.tag in LANDMARKS for b in found for e in b.parents)
-                children: dict[str, list[str]] = {}
-                for b in found:
-                    inside = False
-                    for k, e in enumerate(b.parents):
-                        r = role(e, inside)
-                        if r is not None:
-                            break
-                        below = b.parents[k + 1].name if k + 1 < len(b.parents) else "#text"
-                        kids = children.setdefault(e.path, [])
-                        if not kids or kids[-1] != below:
-                            kids.append(below)
-                        if k == len(b.parents) - 1:
-                            seen.add((e.path, False, hash_of(b.text)))
-                seen.update((path, True, hash_of("/".join(kids))) for path, kids in children.items())
-                for path, style, feature in seen:
-                    count[host, path, landmark, style, feature] += 1
-            rows = [(*k, n) for k, n in count.items()]
+                found = blocks(html)
+                digest = page_digest(found) if distinct else None
+                if distinct:
+                    key = xxhash.xxh3_128_digest(digest + host.encode("utf-8", "surrogatepass"))
+                    if key in met:
+                        continue
+                    met.add(key)
+                landmark, nodes = page_nodes(found)
+                if nodes:
+                    rows.append((host, digest, landmark, *zip(*nodes, strict=True)))
+            cols = zip(*rows, strict=True) if rows else [[]] * 6
+            kinds = (pa.string(), pa.binary(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["host", "digest", "landmark", "paths", "styles", "features"])
+
+    def count(batches):
+        met = set()
+        for batch in batches:
+            n: Counter = Counter()
+            for host, digest, landmark, *nodes in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if distinct:
+                    if (host, digest) in met:
+                        continue
+                    met.add((host, digest))
+                for path, style, feature in zip(*nodes, strict=True):
+                    n[host, path, landmark, style, feature] += 1
+            rows = [(*k, x) for k, x in n.items()]
             cols = zip(*rows, strict=True) if rows else [[]] * 6
             kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "path", "landmark", "style", "feature", "n"])
 
-    rows = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(nodes, _NODES)
+    each_page = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(read, _PAGES)
+    if distinct:
+        each_page = each_page.repartition("host", "digest")  # all copies of a page meet in one task
+    rows = each_page.mapInArrow(count, _NODES)
     each = rows.groupBy("host", "path", "style", "feature").agg(F.sum("n").alias("n"), F.max("landmark").alias("landmark"))
     own = each.groupBy("host", "path").agg(
         F.sum(F.when(F.col("style"), F.col("n")).otherwise(0)).alias("m"),
@@ -143,7 +191,7 @@ def hash_of(text: str) -> int:
 
 def main_text(pages: DataFrame, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per page row: page_id, url, text, n_chars."""
-    low = style_tree(pages).where((F.col("importance") < threshold) & ~F.col("path").isin("html", "html/body", "body"))
+    low = style_tree(pages, distinct=True).where((F.col("importance") < threshold) & ~F.col("path").isin("html", "html/body", "body"))
     low = stored(low.groupBy("host").agg(F.collect_list("path").alias("removed")), "site-style")
     size = low.agg(F.sum(F.lit(200) + F.octet_length("host") + F.octet_length(F.array_join("removed", "  "))).alias("bytes")).first()["bytes"] or 0
     slices = -(-max(size, 1) // broadcast_bytes)

@@ -73,3 +73,14 @@ def test_importance_against_brute_force(spark):
             content = 1 - min(1, sum(math.log(len(x), m) for x in features[path].values()) / len(features[path]))
             want = (m * (0.1 * presentation + 0.9 * content) + 4 * 0.6) / (m + 4)
             assert got[host, path].m == m and abs(got[host, path].importance - want) < 1e-9, path
+
+
+def test_copies_keep_their_article_text(spark):
+    page = "<body><div class=text><p>{0} is told</p><p>and {0} goes on</p></div><div class=x>Follow us</div></body>"
+    rows = [(i, "http://five.example/", page.format("one")) for i in range(5)]
+    rows += [(100 + i, f"http://ten.example/{i}", page.format(f"story {i % 10}")) for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in site_style.main_text(pages).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].startswith("one is told\nand one goes on") for i in range(5))
+    assert all(got[100 + i] == f"story {i % 10} is told\nand story {i % 10} goes on" for i in range(600))
