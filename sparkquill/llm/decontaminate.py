@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkquill.session import stored
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
@@ -24,6 +26,8 @@ WINDOW = 10
 BROADCAST_BYTES = 64 << 20
 #: What a row of the window table costs in a hash relation, beside its words.
 ROW_BYTES = 300
+#: A stored row key, given where rows are removed.
+ROW = "_decontaminate_row"
 
 
 def words(text: Column) -> Column:
@@ -48,12 +52,15 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.withColumn("anchor", F.get("gram", F.col("back")))
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Each document's words and hits: (doc_id, n_words, spans, items), spans as sorted (start, length)."""
+def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, row: str | None = None) -> DataFrame:
+    """Each document's words and hits: (_row, doc_id, n_words, spans, items), spans as sorted (start, length).
+
+    ``row`` names a column of stored row keys, which ``_row`` then holds.
+    """
     table = windows(benchmark, window)
     size = table.agg(F.sum(F.lit(ROW_BYTES) + F.octet_length(F.array_join("gram", " ")) + 16 * F.size("items")).alias("bytes")).first()
     slices = -(-(size["bytes"] or 1) // broadcast_bytes)
-    rows = documents.select(F.monotonically_increasing_id().alias("_row"), "doc_id", words(F.col("text")).alias("w"))
+    rows = documents.select((F.col(row) if row else F.monotonically_increasing_id()).alias("_row"), "doc_id", words(F.col("text")).alias("w"))
     seen = rows.select("_row", "doc_id", "w", F.posexplode_outer("w").alias("_at", "_word"))
     start = F.col("_at") - F.col("_back") + 1
     found = None
@@ -89,12 +96,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The documents that hold no window of the benchmark, with all their columns.
+    """The document rows that hold no window of the benchmark, with all their columns.
 
-    Rows are told apart by ``doc_id``; a row with a null id is judged together with the other null ones.
+    Each row is judged by its own text: rows are told apart by a stored key, not by ``doc_id``.
     """
-    bad = scan(documents, benchmark, window, broadcast_bytes).where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    keyed = stored(documents.withColumn(ROW, F.monotonically_increasing_id()), "decontaminate-rows")
+    bad = scan(keyed, benchmark, window, broadcast_bytes, ROW).where(F.size("spans") > 0).select(F.col("_row").alias(ROW))
+    return keyed.join(bad, ROW, "left_anti").select(*documents.columns)
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

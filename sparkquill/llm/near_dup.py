@@ -17,7 +17,8 @@ still meet in its cluster. Links themselves are exact.
 
 Defined results: null, empty and wordless texts have no shingles and are linked with nothing. Rows of
 one ``doc_id`` are told apart by their text. A component's id is the smallest ``doc_id`` of its rows;
-null if all are null, and then its rows are kept. Further columns are ignored.
+null if all are null, and then its rows are kept. Further columns are ignored. ``one_of_each`` goes by
+rows: of each group one row stays, the first by (id, stored row key) with null ids last.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquill.llm.components import components
@@ -158,6 +159,14 @@ def linked_components(sets: list[np.ndarray], label: np.ndarray | None = None, p
             label[np.isin(label, joined)] = joined[0]
 
 
+#: A stored row key, where ``one_of_each`` has given rows one.
+ROW = "_near_dup_row"
+
+
+def _rid(documents: DataFrame) -> Column:
+    return (F.col(ROW) if ROW in documents.columns else F.monotonically_increasing_id()).alias("rid")
+
+
 _SKETCH = "rid long, doc_id long, n long, digest binary, keys array<long>"
 
 
@@ -174,7 +183,7 @@ def _sketches(documents: DataFrame) -> DataFrame:
                 keys.append(bands.keys(s) if len(s) >= _LEAST else None)
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "doc_id", "n", "digest", "keys"])
 
-    return documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, _SKETCH)
+    return documents.select(_rid(documents), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, _SKETCH)
 
 
 def _groups(batches, keys: tuple[str, ...]):
@@ -255,8 +264,8 @@ def _large_clusters(members: DataFrame, weights: DataFrame, block: int) -> DataF
     return dealt.mapInArrow(solve, "a long, b long").union(seen.where("near").select("v", "pivot"))
 
 
-def near_duplicates(documents: DataFrame, task_shingles: int = TASK_SHINGLES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id, kept."""
+def _placed(documents: DataFrame, task_shingles: int, broadcast_bytes: int) -> DataFrame:
+    """Per document row: rid, doc_id, n, root (of its component)."""
     sketch = stored(_sketches(documents), "near-dup-sketches")
     classes = sketch.where(F.col("n") > 0).groupBy("digest").agg(F.min("rid").alias("v"))
     own = F.coalesce("v", "rid")
@@ -284,8 +293,12 @@ def near_duplicates(documents: DataFrame, task_shingles: int = TASK_SHINGLES, br
                 sets.append(s if xxhash.xxh3_128_digest(s) == digest else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], ["cluster", "size", "v", "n", "shingles"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    full = texts.join(probe, F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("cluster", "size", "v", "n", "digest", "text")
+    if ROW in documents.columns:
+        full = documents.select(F.col(ROW), "text").join(probe, F.col(ROW) == F.col("v"))
+    else:
+        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        full = texts.join(probe, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    full = full.select("cluster", "size", "v", "n", "digest", "text")
     full = full.mapInArrow(shingles, "cluster long, size long, v long, n long, shingles binary").where(F.col("shingles").isNotNull())
     roots = _small_clusters(full.where(F.col("size") <= task_shingles))
     if (totals["largest"] or 0) > task_shingles:
@@ -295,12 +308,20 @@ def near_duplicates(documents: DataFrame, task_shingles: int = TASK_SHINGLES, br
         roots = roots.union(components(links, "near-dup-links").where(F.col("v") != F.col("root")))
     roots = stored(roots, "near-dup-roots")
 
-    placed = rows.select("doc_id", "n", "v").join(roots, "v", "left").select("doc_id", "n", F.coalesce("root", "v").alias("root"))
+    return rows.select("rid", "doc_id", "n", "v").join(roots, "v", "left").select("rid", "doc_id", "n", F.coalesce("root", "v").alias("root"))
+
+
+def near_duplicates(documents: DataFrame, task_shingles: int = TASK_SHINGLES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id, kept."""
+    placed = _placed(documents, task_shingles, broadcast_bytes)
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(documents: DataFrame, task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """The documents that are the first of their component, with all their columns."""
-    gone = near_duplicates(documents, task_shingles).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each component, the first by (id, row key) with null ids last, with all its columns."""
+    keyed = stored(documents.withColumn(ROW, F.monotonically_increasing_id()), "near-dup-rows")
+    placed = stored(_placed(keyed, task_shingles, BROADCAST_BYTES), "near-dup-placed")
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid")))["rid"].alias("rid"))
+    gone = placed.join(first, "rid", "left_anti").select(F.col("rid").alias(ROW))
+    return keyed.join(gone, ROW, "left_anti").select(*documents.columns)

@@ -64,3 +64,22 @@ def test_stages_against_what_each_promises(spark):
 def test_stages_are_those_of_the_operators():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
     assert near_dup.PERCENT >= 80 and decontaminate.WINDOW == 10
+
+
+def test_rows_without_an_id_of_their_own_are_judged_each(spark):
+    import random
+
+    draw = random.Random(2)
+    prose = lambda: " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    copied, twice, null_only, lone, other, seven = (prose() for _ in range(6))
+    rows = [(1, copied), (None, copied + " end"), (None, lone), (2, twice), (2, twice), (7, copied), (7, seven), (None, null_only), (None, null_only), (None, None), (None, ""), (8, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(1, copied), (2, twice), (7, seven), (8, other), (None, ""), (None, None), (None, lone), (None, null_only)]
+    for task in (near_dup.TASK_SHINGLES, 100):
+        assert sorted(map(tuple, near_dup.one_of_each(docs, task).collect()), key=str) == sorted(want, key=str)
+
+    items = spark.createDataFrame([(1, seven)], "item_id long, text string")
+    rows = [(None, lone), (None, "see " + seven), (7, seven), (7, other), (8, other), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    clean = [rows[i] for i in (0, 3, 4, 5)]
+    assert sorted(map(tuple, decontaminate.remove_documents(docs, items).collect()), key=str) == sorted(clean, key=str)
