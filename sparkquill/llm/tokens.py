@@ -5,7 +5,8 @@ between two words. A text's ids are therefore the concatenated ids of its chunks
 with what follows them, or words alone where white space is dropped). Each worker keeps a bounded
 table from chunk to ids in two generations, so the library encodes a chunk that recurs once rather
 than each time.
-Texts with unusual white space, where chunks could depend on their neighbours, are encoded whole.
+Texts with unusual white space, where chunks could depend on their neighbours, are encoded whole, and so
+are texts that hold an added token's content: it is that token there, as in the library's plain encode.
 """
 
 from __future__ import annotations
@@ -53,7 +54,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # Tokens sought in the normalised text may be met in other spellings: their first signs, or all texts.
+        self.marks = tuple({t.content if not t.normalized else re.match("[^A-Za-z]*", t.content)[0] for t in added})
         self.drops_space = drops_space
         self.table: dict[str | bytes, bytes] = {}
         self.old: dict[str | bytes, bytes] = {}
@@ -63,6 +66,8 @@ class Encoder:
         return [_packed(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _split(self, text: str) -> list:
+        if any(x in text for x in self.marks):
+            return [text.encode() if self.drops_space else text]
         if self.drops_space:
             # These tokenizers lower-case; A-Z done beforehand makes more chunks equal.
             return _JOINT_BYTES.sub(rb"\1 ", text.encode().lower()).split()

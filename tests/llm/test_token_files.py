@@ -17,6 +17,18 @@ def test_chunks_give_whole_texts_ids():
         assert list(enc.batches(texts)) == enc.whole(texts)
 
 
+def test_added_tokens_are_those_of_plain_encode():
+    from tokenizers import Tokenizer
+
+    texts = ["end <|endoftext|> of text", "<|endoftext|>", "a<|startoftext|>B.<|endoftext|><|endoftext|>\n\nc, d", "<|ENDOFTEXT|> <|endoftext", "", "<|endoftext|>" + " Words, here." * 9000]
+    for name, drops in TOKENIZERS:
+        plain = Tokenizer.from_file(tokens.vocabulary(name))
+        want = [np.array(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        assert len(want[0]) == 4 * {"word_bpe_49k.json": 4, "byte_bpe_50k.json": 5}[name]
+        enc = tokens.Encoder(tokens.vocabulary(name), drops)
+        assert list(enc.batches(texts)) == want and list(enc.batches(texts[::-1])) == want[::-1]
+
+
 def test_image_round_trip_and_select():
     draw = np.random.default_rng(0)
     for sizes in ([], [0], [0, 0, 5], [1] * 1000, draw.integers(0, 3000, 700).tolist(), [100_000, 1, 1]):
