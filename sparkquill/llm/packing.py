@@ -8,9 +8,12 @@ goes to the driver. There:
    equal cardinality and rounded up to the largest of their group;
 2. the few sizes that are left are packed by configurations: column generation (a knapsack prices
    new configurations against the dual prices), then the fractional optimum is rounded down;
-3. actual lengths take the places of the rounded ones. A sequence that the rounding left with more
-   than ``capacity / TIGHT`` tokens of room is opened again; its pieces, what the rounding down left
-   over and the small lengths are packed by best fit, longest first, into the room that is left.
+3. actual lengths take the places of the rounded ones, the longest of the group first. What rounding up
+   left free is given back to a configuration's last place, which takes the longest large piece that
+   fits there. Steps 1 to 3 are repeated with the pieces that rounding down left over, while that fills
+   configurations;
+4. the last few of these and the small lengths are packed by best fit, longest first, into the room
+   that the configurations leave.
 
 Equal sequences are kept as runs, so the plan's size follows from the capacity, not from the number
 of documents. Pieces of one length are told apart by a rank, made from counts by task and length, and
@@ -36,31 +39,24 @@ from sparkquill.session import stored
 
 CAPACITY, END_ID = 1024, 2
 #: Lengths up to capacity / SMALL are small; groups of large lengths.
-SMALL, GROUPS = 4, 48
-#: Sequences of large lengths may leave capacity / TIGHT tokens of room.
-TIGHT = 512
-
-
-def _pieces(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of n ids."""
-    first = n % capacity or capacity
-    return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
+SMALL, GROUPS = 4, 128
 
 
 def _groups(counts: dict[int, int], number: int) -> list[list[tuple[int, int]]]:
-    """Groups of equal cardinality, longest first, each a list of (length, count), longest first."""
-    total, out, taken = sum(counts.values()), [[]], 0
+    """Groups of about equal cardinality, longest first, each a list of (length, count), longest first.
+
+    Pieces of one length stay together; a length that would fill a group is one.
+    """
+    least, out, held = sum(counts.values()) / number, [], 0
+    if len(counts) <= number:
+        least = 0
     for length in sorted(counts, reverse=True):
-        left = counts[length]
-        while left:
-            room = -(-total * len(out) // number) - taken
-            if room <= 0:
-                out.append([])
-                continue
-            k = min(left, room)
-            out[-1].append((length, k))
-            taken, left = taken + k, left - k
-    return [g for g in out if g]
+        if not out or held >= least or counts[length] >= least:
+            out.append([])
+            held = 0
+        out[-1].append((length, counts[length]))
+        held += counts[length]
+    return out
 
 
 def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
@@ -104,9 +100,9 @@ class _Runs:
     def __init__(self, capacity: int) -> None:
         self.capacity, self.by_room, self.rooms = capacity, defaultdict(list), 0
 
-    def add(self, content: tuple[int, ...], number: int) -> None:
+    def add(self, content: tuple[int, ...], number: int, configured: bool = False) -> None:
         room = self.capacity - sum(content)
-        self.by_room[room].append((content, number))
+        self.by_room[room].append((content, number, configured))
         self.rooms |= 1 << room
 
     def best_fit(self, length: int, number: int) -> None:
@@ -119,78 +115,91 @@ class _Runs:
                 number -= number // each * each
                 continue
             room = length + (fitting & -fitting).bit_length() - 1
-            content, there = self.by_room[room].pop()
+            content, there, configured = self.by_room[room].pop()
             each = min(room // length, max(1, number // there))
             k = min(there, number // each)
             if there > k:
-                self.by_room[room].append((content, there - k))
+                self.by_room[room].append((content, there - k, configured))
             if not self.by_room[room]:
                 self.rooms &= ~(1 << room)
-            self.add(content + (length,) * each, k)
+            self.add(content + (length,) * each, k, configured)
             number -= k * each
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS, tight: int = TIGHT) -> list[tuple[tuple[int, ...], int]]:
-    """Runs of sequences (the lengths in one, how many) that hold all pieces of a histogram."""
+class _Stock:
+    """Pieces that have no place yet, by length."""
+
+    def __init__(self, counts: dict[int, int]) -> None:
+        self.counts, self.lengths = dict(counts), 0
+        for n in counts:
+            self.lengths |= 1 << n
+
+    def longest(self, most: int, taken: list[int]) -> int | None:
+        """The longest length up to ``most`` of which a piece is left beside those taken."""
+        there = self.lengths & (2 << most) - 1
+        while there:
+            n = there.bit_length() - 1
+            if self.counts[n] > taken.count(n):
+                return n
+            there ^= 1 << n
+        return None
+
+    def take(self, content: list[int], number: int) -> None:
+        for n in content:
+            self.counts[n] -= number
+            if not self.counts[n]:
+                del self.counts[n]
+                self.lengths ^= 1 << n
+
+
+def _configured(stock: _Stock, runs: _Runs, groups: int) -> bool:
+    """Fill configurations of grouped sizes from the stock; whether any was filled."""
+    capacity, found = runs.capacity, False
+    demand: dict[int, int] = defaultdict(int)  # groups of the same rounded size are one size
+    for g in _groups(stock.counts, groups):
+        demand[g[0][0]] += sum(c for _, c in g)
+    sizes = np.array(list(demand))
+    solved = _configurations(sizes, np.array(list(demand.values()), float), capacity)
+    for column, amount in sorted(solved, key=lambda x: -x[1]):
+        places = sorted((int(sizes[i]) for i, k in enumerate(column) for _ in range(k)), reverse=True)
+        left = int(amount + 1e-6)
+        while left:
+            content: list[int] = []
+            for k, size in enumerate(places):
+                length = stock.longest(capacity - sum(content) if k == len(places) - 1 else size, content)
+                if length is None:
+                    break
+                content.append(length)
+            if len(content) < len(places):
+                break
+            number = min(left, *(stock.counts[n] // content.count(n) for n in content))
+            stock.take(content, number)
+            runs.add(tuple(content), number, True)
+            left -= number
+            found = True
+    return found
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int, bool]]:
+    """Runs of sequences (the lengths in one, how many, whether a configuration) that hold all pieces of a histogram."""
     runs = _Runs(capacity)
     counts = {n: c for n, c in counts.items() if c}
     if full := counts.pop(capacity, 0):
         runs.add((capacity,), full)
-    large = {n: c for n, c in counts.items() if n * small > capacity}
-    dealt = _groups(large, groups)
-    rest: dict[int, int] = defaultdict(int, {n: c for n, c in counts.items() if n not in large})
-    if dealt:
-        # Groups of the same rounded size are one size.
-        merged: dict[int, list[tuple[int, int]]] = {}
-        for g in dealt:
-            merged.setdefault(g[0][0], []).extend(g)
-        sizes, stock = np.array(list(merged)), [list(g) for g in merged.values()]
-        demand = np.array([sum(c for _, c in g) for g in stock], float)
-        for column, amount in _configurations(sizes, demand, capacity):
-            left = int(amount + 1e-6)
-            places = [i for i, k in enumerate(column) for _ in range(k)]
-            while left:
-                # Actual lengths, longest first, take the places; a run ends where one of them runs out.
-                need = {i: places.count(i) for i in set(places)}
-                heads = {i: stock[i][0] for i in need if stock[i]}
-                if len(heads) < len(need):
-                    break
-                k = min([left, *(heads[i][1] // need[i] for i in need)])
-                content = []
-                if k:
-                    for i in places:
-                        content.append(heads[i][0])
-                    for i in need:
-                        stock[i][0] = (heads[i][0], heads[i][1] - k * need[i])
-                else:
-                    k = 1
-                    for i in places:
-                        while stock[i] and not stock[i][0][1]:
-                            stock[i].pop(0)
-                        if stock[i]:
-                            content.append(stock[i][0][0])
-                            stock[i][0] = (stock[i][0][0], stock[i][0][1] - 1)
-                for i in need:
-                    while stock[i] and not stock[i][0][1]:
-                        stock[i].pop(0)
-                if (capacity - sum(content)) * tight <= capacity:
-                    runs.add(tuple(content), k)
-                else:
-                    for n in content:
-                        rest[n] += k
-                left -= k
-        for n, c in (x for g in stock for x in g):
-            rest[n] += c
+    stock = _Stock({n: c for n, c in counts.items() if n * small > capacity})
+    while stock.counts and _configured(stock, runs, groups):
+        pass
+    rest = {n: c for n, c in counts.items() if n * small <= capacity} | stock.counts
     for n in sorted(rest, reverse=True):
         runs.best_fit(n, rest[n])
     return [run for room in sorted(runs.by_room) for run in runs.by_room[room] if run[1]]
 
 
-def _places(runs: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
+def _places(runs: list[tuple[tuple[int, ...], int, bool]]) -> dict[str, np.ndarray]:
     """For ranks of each length, in order: where a range begins, its first sequence and its offset."""
     used: dict[int, int] = defaultdict(int)
     out, sequence = [], 0
-    for content, number in runs:
+    for content, number, _ in runs:
         offset = 0
         for n in content:
             out.append((n, used[n], sequence, offset))
@@ -205,30 +214,42 @@ _CUT = "doc_id long, piece int, start long, length long, ids_crc32 long, task in
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def cut(documents: DataFrame, tokenizer: str, drops_space: bool, capacity: int = CAPACITY) -> DataFrame:
+def cut(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all documents; ``nth`` counts the pieces of one length within a task."""
 
     def pieces(batches):
-        task, enc, end = TaskContext.get().partitionId(), encoder(tokenizer, drops_space), np.asarray([END_ID], "<u4").tobytes()
+        task, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.batches(x or "" for x in batch.column("text").to_pylist()), strict=True):
-                ids = memoryview(ids + end)
-                for piece, (start, n) in enumerate(_pieces(len(ids) // 4, capacity)):
-                    rows.append((doc_id, piece, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), task, int(seen[n])))
-                    seen[n] += 1
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
-
-    return documents.select("doc_id", "text").mapInArrow(pieces, _CUT)
-
-
-def pack(documents: DataFrame, tokenizer: str, drops_space: bool, capacity: int = CAPACITY) -> DataFrame:
+            for first, ids, ends in enc.encode(batch.column("text"), END_ID):
+                tokens = np.diff(ends)
+                number = -(-tokens // capacity)
+                total = int(number.sum())
+                heads = np.cumsum(number) - number
+                piece = np.arange(total) - np.repeat(heads, number)
+                # Cuts of a document, counted from its end, are multiples of the capacity.
+                start = np.maximum(np.repeat(tokens - number * capacity, number) + piece * capacity, 0)
+                length = np.diff(start, append=0)
+                length[heads + number - 1] = tokens - start[heads + number - 1]
+                order = np.argsort(length, kind="stable")
+                each = np.bincount(length, minlength=capacity + 1)
+                nth = np.empty(total, np.int64)
+                nth[order] = np.arange(total) - (np.cumsum(each) - each)[length[order]] + seen[length[order]]
+                seen += each
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                at = (np.repeat(ends[:-1], number) + start) * 4
+                crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                owner = pa.array(np.repeat(np.arange(first, first + len(tokens)), number))
+                cols = (piece.astype(np.int32), start, length, crc, np.full(total, task, np.int32), nth)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, _CUT)
+
+
+def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """All pieces with the sequence each lies in and its offset there."""
-    pieces = stored(cut(documents, tokenizer, drops_space, capacity), "pieces")
+    pieces = stored(cut(documents, tokenizer, capacity), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     places = _places(plan(counts, capacity))

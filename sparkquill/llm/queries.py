@@ -17,7 +17,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_files.write_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json", drops_space=True)
+    files = token_files.write_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
     return token_files.read_files(files)
 
 
@@ -42,7 +42,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", drops_space=False)
+    return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

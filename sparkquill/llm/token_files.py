@@ -1,17 +1,18 @@
 """Token-id files: one concatenated id array with Elias-Fano coded document boundaries.
 
-A file image holds, little-endian: magic ``TIDS``, version, bytes of an id, low bits ``l`` of a
-boundary (one byte each), the number of documents, ids, words of high bits and select samples
-(unsigned 64-bit), then the document ids (64-bit; their absence in a byte each), the low bits of the
-n + 1 boundaries, the high bits in unary, the position of every ``SAMPLE``-th one among them, and the
-ids. A boundary takes about ``2 + log2(ids / documents)`` bits instead of 64.
-
-``select(k)`` finds the k-th one of the high bits from the nearest sample by counting bits in words;
-``boundaries()`` decodes all at once.
-
-Defined results: a null text is empty and has only the end id; ties of ``doc_id`` are ordered by text;
-null ``doc_id``s come first. Repeated rows each have their ids. An empty table gives no file and no
-rows. Further columns are ignored.
+A file image holds, little-endian: magic ``TIDS``, version, bytes of an id, the numbers of documents, of
+those without a ``doc_id`` (they come first) and of ids; then two Elias-Fano sequences, the n + 1
+boundaries and the ascending ``doc_id``s less the smallest; then the ids. A sequence of n values up to u
+takes about ``2 + log2(u / n)`` bits a value instead of 64: its low bits, its high bits in unary, and the
+position of every ``SAMPLE``-th one among them. ``select(k)`` finds value k from the nearest sample by
+counting bits in words. Documents are read through ``select``; no table of offsets is made.
+
+Texts are encoded where they lie; only ids, in ``id_bytes`` bytes each, are shuffled, by ranges of
+``doc_id`` whose bounds are approximate quantiles.
+
+Defined results: a null text is empty and has only the end id; ties of ``doc_id`` are ordered by their
+ids' bytes; null ``doc_id``s come first. Repeated rows each have their ids. An empty table gives no file
+and no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,43 +32,67 @@ END_ID = 2
 #: Ids of one file image at most (a longer document has an image of its own).
 FILE_IDS = 2 << 20
 SAMPLE = 256
-_HEAD = struct.Struct("<4sBBBQQQQ")
+_HEAD, _SEQUENCE = struct.Struct("<4sBBQQQ"), struct.Struct("<BQQQ")
+
+
+class EliasFano:
+    """An ascending sequence of integers from 0 on."""
+
+    def __init__(self, low: int, low_bits: bytes | memoryview, words: np.ndarray, samples: np.ndarray, n: int) -> None:
+        self.low, self.low_bits, self.words, self.samples, self.n = low, low_bits, words, samples, n
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> EliasFano:
+        values = values.astype(np.uint64)
+        n = len(values)
+        low = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
+        high = (values >> np.uint64(low)) + np.arange(n, dtype=np.uint64)
+        unary = np.zeros((int(high[-1]) // 64 + 1) * 64 if n else 0, np.uint8)
+        unary[high] = 1
+        shifts = np.arange(low, dtype=np.uint64)
+        bits = ((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel()
+        return cls(low, np.packbits(bits, bitorder="little").tobytes(), np.packbits(unary, bitorder="little").view("<u8"), high[::SAMPLE].astype("<u8"), n)
+
+    def packed(self) -> bytes:
+        return _SEQUENCE.pack(self.low, self.n, len(self.words), len(self.samples)) + bytes(self.low_bits) + self.words.tobytes() + self.samples.tobytes()
+
+    @classmethod
+    def read(cls, data: memoryview) -> tuple[EliasFano, memoryview]:
+        """A packed sequence, and what follows it."""
+        low, n, words, samples = _SEQUENCE.unpack_from(data)
+        a = _SEQUENCE.size
+        b = a + -(-n * low // 8)
+        c = b + 8 * words
+        d = c + 8 * samples
+        return cls(low, data[a:b], np.frombuffer(data[b:c], "<u8"), np.frombuffer(data[c:d], "<u8"), n), data[d:]
 
-
-def _pack_low(values: np.ndarray, bits: int) -> bytes:
-    if not bits:
-        return b""
-    shifts = np.arange(bits, dtype=np.uint64)
-    return np.packbits(((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
-
-
-def _unpack_low(data: bytes, n: int, bits: int) -> np.ndarray:
-    if not bits:
-        return np.zeros(n, np.uint64)
-    flat = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
-    return flat.astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+    def select(self, k: int) -> int:
+        """Value k."""
+        position, left = int(self.samples[k // SAMPLE]), k % SAMPLE
+        word = position // 64
+        value = int(self.words[word]) >> position % 64 << position % 64
+        while (count := value.bit_count()) <= left:
+            left -= count
+            word += 1
+            value = int(self.words[word])
+        for _ in range(left):
+            value &= value - 1
+        high = word * 64 + (value & -value).bit_length() - 1 - k
+        first = k * self.low
+        window = int.from_bytes(self.low_bits[first // 8 : -(-(first + self.low) // 8)], "little") >> first % 8
+        return high << self.low | window & (1 << self.low) - 1
 
 
 def write_image(doc_ids: list, documents: list[bytes], id_bytes: int = 2) -> bytes:
-    """The file image of documents given as packed 32-bit ids."""
-    bounds = np.zeros(len(documents) + 1, np.uint64)
-    np.cumsum([len(x) // 4 for x in documents], out=bounds[1:])
-    total = int(bounds[-1])
-    low = max(0, (total // len(bounds)).bit_length() - 1)
-    high = (bounds >> np.uint64(low)) + np.arange(len(bounds), dtype=np.uint64)
-    words = int(high[-1]) // 64 + 1
-    unary = np.zeros(words * 64, np.uint8)
-    unary[high] = 1
-    ids = np.frombuffer(b"".join(documents), "<u4")
-    if ids.size and id_bytes == 2 and ids.max() >= 1 << 16:
-        raise ValueError("an id does not fit in 16 bits")
-    known = np.array([x is not None for x in doc_ids], np.uint8)
-    samples = high[::SAMPLE].astype("<u8")
+    """The file image of documents given as packed ids of ``id_bytes`` bytes, by ascending id, nulls first."""
+    bounds = np.zeros(len(documents) + 1, np.int64)
+    np.cumsum([len(x) // id_bytes for x in documents], out=bounds[1:])
+    known = [x for x in doc_ids if x is not None]
+    base = known[0] if known else 0
+    above = np.array(known, np.int64).astype(np.uint64) - np.uint64(base % (1 << 64))
     return b"".join((
-        _HEAD.pack(b"TIDS", 1, id_bytes, low, len(documents), total, words, len(samples)),
-        np.array([x or 0 for x in doc_ids], "<i8").tobytes(), known.tobytes(),
-        _pack_low(bounds & np.uint64((1 << low) - 1), low), np.packbits(unary, bitorder="little").tobytes(),
-        samples.tobytes(), ids.astype(f"<u{id_bytes}").tobytes(),
+        _HEAD.pack(b"TIDS", 2, id_bytes, len(documents), len(documents) - len(known), int(bounds[-1])),
+        struct.pack("<q", base), EliasFano.of(bounds).packed(), EliasFano.of(above).packed(), *documents,
     ))
 
 
@@ -76,80 +100,77 @@ class Image:
     """A file image that is read by document."""
 
     def __init__(self, data: bytes) -> None:
-        magic, version, self.id_bytes, self.low, self.n, self.total, words, samples = _HEAD.unpack_from(data)
-        if magic != b"TIDS" or version != 1:
-            raise ValueError("not a token-id file of version 1")
-        at = _HEAD.size
-
-        def take(size: int) -> memoryview:
-            nonlocal at
-            at += size
-            return memoryview(data)[at - size : at]
-
-        ids, known = np.frombuffer(take(8 * self.n), "<i8"), np.frombuffer(take(self.n), np.uint8)
-        self.doc_ids = [int(x) if k else None for x, k in zip(ids, known, strict=True)]
-        self.low_bits = take(-(-(self.n + 1) * self.low // 8))
-        self.high_words = np.frombuffer(take(8 * words), "<u8")
-        self.samples = np.frombuffer(take(8 * samples), "<u8")
-        self.ids = np.frombuffer(take(self.id_bytes * self.total), f"<u{self.id_bytes}")
-        if at != len(data):
+        magic, version, self.id_bytes, self.n, self.nameless, self.total = _HEAD.unpack_from(data)
+        if magic != b"TIDS" or version != 2:
+            raise ValueError("not a token-id file of version 2")
+        rest = memoryview(data)[_HEAD.size :]
+        (self.base,) = struct.unpack_from("<q", rest)
+        self.bounds, rest = EliasFano.read(rest[8:])
+        self.names, rest = EliasFano.read(rest)
+        if len(rest) != self.id_bytes * self.total:
             raise ValueError("a token-id file of another length than its header says")
+        self.ids = np.frombuffer(rest, f"<u{self.id_bytes}")
 
-    def boundaries(self) -> np.ndarray:
-        """Where each document starts, and the end of the last one."""
-        ones = np.flatnonzero(np.unpackbits(self.high_words.view(np.uint8), bitorder="little")).astype(np.uint64)
-        return ((ones - np.arange(self.n + 1, dtype=np.uint64)) << np.uint64(self.low)) | _unpack_low(self.low_bits, self.n + 1, self.low)
+    def start(self, k: int) -> int:
+        """Where document k starts; for k = n, where the last one ends."""
+        return self.bounds.select(k)
 
-    def select(self, k: int) -> int:
-        """Where document k starts."""
-        position, left = int(self.samples[k // SAMPLE]), k % SAMPLE
-        word, value = position // 64, int(self.high_words[position // 64]) >> position % 64 << position % 64
-        while (count := value.bit_count()) <= left:
-            left -= count
-            word += 1
-            value = int(self.high_words[word])
-        for _ in range(left):
-            value &= value - 1
-        high = word * 64 + (value & -value).bit_length() - 1 - k
-        first = k * self.low
-        window = int.from_bytes(self.low_bits[first // 8 : -(-(first + self.low) // 8)], "little") >> first % 8
-        return high << self.low | window & (1 << self.low) - 1
+    def doc_id(self, k: int) -> int | None:
+        return None if k < self.nameless else self.base + self.names.select(k - self.nameless)
 
     def document(self, k: int) -> np.ndarray:
-        return self.ids[self.select(k) : self.select(k + 1)]
+        return self.ids[self.start(k) : self.start(k + 1)]
 
 
+_IDS = "doc_id long, part int, ids binary"
 _FILES = "part int, base long, n_docs long, n_ids long, image binary"
 _ROWS = "part int, local long, doc_id long, n_tokens long, ids_crc32 long"
 
 
-def write_files(documents: DataFrame, tokenizer: str, drops_space: bool, id_bytes: int = 2, name: str = "token-files") -> DataFrame:
+def write_files(documents: DataFrame, tokenizer: str, id_bytes: int = 2, name: str = "token-files") -> DataFrame:
     """Encode and write all documents in ascending ``doc_id`` order; the table of files.
 
     ``part`` numbers the ranges of ids in order, ``base`` counts the part's ids before the file.
     """
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Bounds of ranges: one number for each partition of a shuffle, from a scan of the ids alone.
+    found = documents.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts).alias("q")).first()["q"] if parts > 1 else None
+    bounds = np.unique(np.array(found or [], np.int64))
+
+    def encode(batches):
+        enc = encoder(tokenizer)
+        for batch in batches:
+            names = batch.column("doc_id")
+            part = np.where(names.is_null().to_numpy(False), 0, np.searchsorted(bounds, names.fill_null(0).to_numpy(False))).astype(np.int32)
+            for first, ids, ends in enc.encode(batch.column("text"), END_ID):
+                if id_bytes < 4 and ids.max() >> 8 * id_bytes:
+                    raise ValueError(f"an id does not fit in {id_bytes} bytes")
+                n = len(ends) - 1
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * id_bytes).astype(np.int32)), pa.py_buffer(ids.astype(f"<u{id_bytes}"))])
+                yield pa.RecordBatch.from_arrays([names.slice(first, n), pa.array(part[first : first + n]), packed], ["doc_id", "part", "ids"])
 
     def pack(batches):
-        part, enc, end = TaskContext.get().partitionId(), encoder(tokenizer, drops_space), np.asarray([END_ID], "<u4").tobytes()
-        base, ids, docs, size = 0, [], [], 0
+        part, base, names, docs, size = None, 0, [], [], 0
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "base": [base], "n_docs": [len(docs)], "n_ids": [size], "image": pa.array([write_image(ids, docs, id_bytes)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "base": [base], "n_docs": [len(docs)], "n_ids": [size], "image": pa.array([write_image(names, docs, id_bytes)], pa.binary())})
 
         for batch in batches:
-            texts = (x or "" for x in batch.column("text").to_pylist())
-            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), enc.batches(texts), strict=True):
-                ids.append(doc_id)
-                docs.append(packed + end)
-                size += len(docs[-1]) // 4
-                if size >= FILE_IDS:
+            for doc_id, its, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if docs and (its != part or size >= FILE_IDS):
                     yield row()
-                    base, ids, docs, size = base + size, [], [], 0
+                    base, names, docs, size = base + size, [], [], 0
+                if its != part:
+                    part, base = its, 0
+                names.append(doc_id)
+                docs.append(ids)
+                size += len(ids) // id_bytes
         if docs:
             yield row()
 
-    # Ranges are of ids alone: their sample, which the driver gathers, then holds no texts.
-    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ids = documents.mapInArrow(encode, _IDS)
+    ordered = ids.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
     return stored(ordered.mapInArrow(pack, _FILES), name)
 
 
@@ -160,10 +181,14 @@ def read_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for part, base, data in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist(), batch.column("image"), strict=True):
                 image = Image(data.as_py())
-                bounds = image.boundaries().astype(np.int64)
-                ids = memoryview(image.ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(image.n, part, np.int32)), "local": pa.array(base + bounds[:-1]), "doc_id": pa.array(image.doc_ids, pa.int64()), "n_tokens": pa.array(np.diff(bounds)), "ids_crc32": pa.array(crc, pa.int64())})
+                local, names, tokens, crc = [], [], [], []
+                for k in range(image.n):
+                    ids = image.document(k)
+                    local.append(base + image.start(k))
+                    names.append(image.doc_id(k))
+                    tokens.append(len(ids))
+                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * image.n, pa.int32()), "local": pa.array(local, pa.int64()), "doc_id": pa.array(names, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     rows = files.select("part", "base", "image").mapInArrow(parse, _ROWS)
     # One row for each range partition: its count is a setting of the cluster, not of the data.
