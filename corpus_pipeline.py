@@ -40,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
     ship(spark)
-    return packing.pack(docs, "byte_bpe_50k.json", drops_space=False)
+    return packing.pack(docs, "byte_bpe_50k.json")
 
 
 STAGES = [
