@@ -6,6 +6,8 @@ import re
 from html import unescape
 from typing import NamedTuple
 
+import xxhash
+
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|$)")
 _CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -19,6 +21,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An element that ends when one of these begins.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: Open block elements at most; one that would be deeper stands beside the deepest, as in browsers.
+MAX_DEPTH = 400
+#: Class names up to this length are part of an element's name as they are, longer ones as a hash.
+MAX_NAME = 120
 _SCOPES = frozenset("ul ol dl table article section div main body html nav aside footer header form".split())
 
 
@@ -120,6 +126,10 @@ def blocks(html: str | None, attribute_sink=None) -> list[Block]:
         if raw.endswith("/"):
             continue
         name, words = _attributes(raw)
+        if len(name) > MAX_NAME:
+            name = f".{xxhash.xxh3_64_hexdigest(name.encode('utf-8', 'surrogatepass'))}"
+        if len(stack) == MAX_DEPTH:
+            stack.pop()
         stack.append(Element(tag, tag + name, (stack[-1].path + "/" if stack else "") + tag + name, words))
     flush()
     return out

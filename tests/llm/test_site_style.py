@@ -17,6 +17,10 @@ def test_reader():
     assert texts(None) == texts("") == [] and texts("<div " + 'a="' * 5000) == []
     assert texts("<p>" * 3000 + "deep") == ["deep"] and len(texts("<div>" * 500 + "x")) == 1
     assert dom.blocks('<div class="post 123" id=top><p>t')[0].parents[-1].path == "div.post.0.top/p"
+    deep = dom.blocks("<div>a" * 5000 + "</div>b" * 5000)
+    assert [b.text for b in deep] == ["a"] * 5000 + ["b"] * 5000 and max(len(b.parents) for b in deep) == dom.MAX_DEPTH
+    assert site_style.kept(deep, frozenset()) == [b.text for b in deep] and site_style.page_nodes(deep)
+    assert len(dom.blocks(f"<div class='{'x' * 9000}'>t")[0].parents[0].path) < 200
     assert texts("a&nbsp;&lt;b&gt; &#233; &unknown;") == ["a <b> é &unknown;"]
 
 
@@ -39,8 +43,8 @@ def test_roles_and_repeated_branches(spark):
         want[i] = "\n".join((head, one.replace("&lt;", "<"), " ".join(two.split())))
     rows += [(100, None, None, "x"), (101, "not a url", "", "x"), (102, "http://one.example/", "<p>only page</p>", "x"), (1, "http://a.example/1", rows[1][2], "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(3)
-    for limit in (site_style.BROADCAST_BYTES, 150):
-        got = site_style.main_text(pages, broadcast_bytes=limit).collect()
+    for limit, wide in ((site_style.BROADCAST_BYTES, site_style.WIDE), (150, site_style.WIDE), (1 << 20, 0)):
+        got = site_style.main_text(pages, broadcast_bytes=limit, wide=wide).collect()
         assert len(got) == len(rows)
         for r in got:
             assert r.text == want.get(r.page_id, {100: "", 101: "", 102: "only page"}.get(r.page_id)), r
@@ -84,3 +88,25 @@ def test_copies_keep_their_article_text(spark):
     assert len(got) == len(rows)
     assert all(got[i].startswith("one is told\nand one goes on") for i in range(5))
     assert all(got[100 + i] == f"story {i % 10} is told\nand story {i % 10} goes on" for i in range(600))
+
+
+def test_entropies_decide_inside_landmarks_and_of_leaning_words(spark):
+    draw = random.Random(6)
+    word = lambda: " ".join("".join(draw.choice("abcdef") for _ in range(6)) for _ in range(4))
+    rows, want, off = [], {}, {}
+    for i in range(300):
+        told, more, tip = word(), word(), word()
+        body = f"<main><h1>{told}</h1><div class=x>Follow us</div><p>{more}</p><div class='alert box'>{tip}</div><div class=share>Share this</div><div class=comments>{word()}</div></main>"
+        rows.append((i, f"http://a.example/{i}", f"<body><nav>{word()}</nav>{body}<div class=ad>{word()}</div></body>"))
+        want[i] = f"{told}\n{more}\n{tip}"  # repeated blocks go, own prose under a leaning word stays
+        off[i] = f"{told}\nFollow us\n{more}\n{tip}\nShare this"
+    for i in range(300, 305):  # few pages do not outweigh a prior
+        rows.append((i, "http://few.example/", f"<body><article><h1>{i}</h1><div class=x>Follow us</div></article><div class=alert>{i} {i}</div></body>"))
+        want[i] = off[i] = f"{i}\nFollow us"
+    for i in range(305, 505):  # an article copied under other menus and adverts is no boilerplate
+        rows.append((i, "http://copies.example/", f"<body><nav>{i}</nav><div class=ad>{word()}</div><article><h1>One</h1><p>story</article></body>"))
+        want[i] = off[i] = "One\nstory"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    assert {r.page_id: r.text for r in site_style.main_text(pages).collect()} == want
+    untreed = {i: "\n".join(site_style.kept(dom.blocks(html), frozenset())) for i, _, html in rows}
+    assert {i: x for i, x in untreed.items() if i < 300} == {i: x for i, x in off.items() if i < 300}
