@@ -3,8 +3,9 @@
 The base patterns find emails, IP addresses, card and phone numbers in linear time. The tagger (see
 ``char_tagger``; trained in numpy from labelled spans) reads windows that overlap by half. Scores of a
 character are averaged over its windows, weighted towards their middles, and each run of touching
-windows is decoded as one sequence, so no span is cut at a window's edge. A span must hold an ``@`` or
-``LEAST_DIGITS`` digits; a window with neither sign can decode to no span and is not run.
+windows is decoded as one sequence, so no span is cut at a window's edge. A span must hold an ``@``, a
+spelled-out ``(at)`` or ``LEAST_DIGITS`` digits. Windows near none of these signs are not run: a run holds
+the windows of a sign and of their neighbours, so that what is around a sign is scored by all its windows.
 
 Base spans stay; the tagger adds spans that touch none of them and whose mean probability is high.
 Positions are code points, ends exclusive.
@@ -16,18 +17,22 @@ gives no rows. Further columns are ignored (``mask`` keeps them).
 from __future__ import annotations
 
 import hashlib
+import inspect
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquill.llm import char_tagger
 from sparkquill.llm.char_tagger import KINDS, TAGS, WINDOW, Tagger, codes, invented_tagger, luhn
+from sparkquill.session import scratch_root
 
 LEAST_DIGITS = 7
 #: Least mean probability of an added span.
-CONFIDENCE = 0.9
+CONFIDENCE = 0.8
 #: Windows that are run together.
 _AT_ONCE = 512
 
@@ -36,7 +41,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SIGN = re.compile(r"[0-9@]")
+_SIGN = re.compile(r"[0-9@]|[\[(]at[\])]", re.IGNORECASE)
+_SPELLED = re.compile(r"@|[\[(]at[\])]", re.IGNORECASE)
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -75,8 +81,8 @@ def _windows(text: str) -> list[tuple[int, int]]:
     """Runs of touching windows that hold a sign, as (start, end) multiples of half a window."""
     half, runs = WINDOW // 2, []
     for m in _SIGN.finditer(text):
-        a = max(0, m.start() // half - 1) * half
-        b = (m.start() // half + 2) * half
+        a = max(0, m.start() // half - 2) * half
+        b = (m.start() // half + 3) * half
         if runs and a <= runs[-1][1]:
             runs[-1] = (runs[-1][0], max(runs[-1][1], b))
         else:
@@ -123,7 +129,7 @@ def _tagged(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]
                         end += 1
                     piece = texts[k][a + at : a + end]
                     own = p[row, np.arange(at, end), t[at:end]].mean()
-                    if own >= CONFIDENCE and ("@" in piece or sum(x.isdigit() for x in piece) >= LEAST_DIGITS):
+                    if own >= CONFIDENCE and (_SPELLED.search(piece) or sum(x.isdigit() for x in piece) >= LEAST_DIGITS):
                         found[k].append((KINDS[(t[at] - 1) // 2], a + at, a + end))
                 at = end
     return found
@@ -141,13 +147,29 @@ def find(texts: list[str | None], model: Tagger) -> list[tuple[list, list]]:
     return out
 
 
+def tagger(spark: SparkSession) -> Tagger:
+    """The shipped tagger: its parameters are stored in the shared folder, and trained where they are not there yet."""
+    code = inspect.getsource(char_tagger)
+    path = f"{scratch_root(spark)}/tagger-{hashlib.sha256(code.encode()).hexdigest()[:16]}"
+    try:
+        rows = spark.read.parquet(path).collect()  # one row for each array of the model
+    except AnalysisException:
+        rows = []
+    if rows:
+        return Tagger({r["name"]: np.frombuffer(r["data"], "<f4").reshape(r["shape"]) for r in rows})
+    model = invented_tagger()
+    table = [(k, list(v.shape), bytearray(v.astype("<f4").tobytes())) for k, v in model.p.items()]
+    spark.createDataFrame(table, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return model
+
+
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
 def personal_data(documents: DataFrame, model: Tagger | None = None) -> DataFrame:
     """Per document row: doc_id, counts of base spans by kind, base_sha256 and all spans."""
-    model = model or invented_tagger()
+    model = model or tagger(documents.sparkSession)
 
     def spans(batches):
         for batch in batches:
@@ -172,7 +194,7 @@ def masked(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 def mask(documents: DataFrame, model: Tagger | None = None) -> DataFrame:
     """The documents with personal data replaced by its kind; ``n_chars``, if there, is counted anew."""
-    model = model or invented_tagger()
+    model = model or tagger(documents.sparkSession)
     at = documents.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 

@@ -73,6 +73,50 @@ def test_tagger_finds_held_out_spans():
     assert hit / want > 0.6 and wrong / (hit + wrong) < 0.15
 
 
+SENTENCES = ("Please write to {email} before Friday.", "You can reach our office at {phone} on weekdays.", "My number is {phone}; ask for Dr. Braun.", "Contact: {email} or {phone}, room 214.", "The server {ip} was down for 35 minutes on 2024-03-11.", "He paid with card {card} on 12/04/2023.", "Order #4481273 shipped; questions? {email}", "In 1987 the town had 12,431 inhabitants and 3.5 km of roads.", "Commit 9f3a77b21c0de4a5 fixed version 2.4.17 of the tool.", "See pages 112-118 and ISBN 978-3-16-148410-0.")
+
+
+def sentences(draw):
+    """English sentences, unlike the tagger's training text, and their spans."""
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    make = {
+        "email": lambda: draw.choice(("anna", "bob.king", "j_smith", "kate99", "o.neil")) + draw.choice(("@", " (at) ", " [at] ")) + draw.choice(("corp.com", "uni-hamburg.de", "mail.example.org", "acme.co.uk")),
+        "phone": lambda: draw.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}")).format(digits(3), digits(3), digits(4)),
+        "ip": lambda: draw.choice((".", "[.]")).join(str(draw.randint(1, 254)) for _ in range(4)),
+        "card": lambda: draw.choice((" ", "-", ".", "")).join(digits(4) for _ in range(4)),
+    }
+    text, spans = "", []
+    for _ in range(8):
+        for part in re.split(r"(\{\w+\})", draw.choice(SENTENCES)):
+            if part.startswith("{"):
+                value = make[part[1:-1]]()
+                spans.append((part[1:-1], len(text), len(text) + len(value)))
+                part = value
+            text += part
+        text += " "
+    return text, spans
+
+
+def test_tagger_on_text_of_another_kind():
+    model, draw = char_tagger.invented_tagger(), random.Random(5)
+    hit = want = wrong = beyond = beyond_hit = 0
+    for _ in range(80):
+        text, spans = sentences(draw)
+        got = set(pii._tagged(model, [text])[0])
+        base = set(brute(text))
+        hit, wrong, want = hit + len(got & set(spans)), wrong + len(got - set(spans)), want + len(spans)
+        beyond, beyond_hit = beyond + len(set(spans) - base), beyond_hit + len(got & (set(spans) - base))
+    assert hit / want > 0.85 and wrong / (hit + wrong) < 0.03
+    assert beyond > 200 and beyond_hit / beyond > 0.85
+
+
+def test_tagger_is_stored_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pii, "scratch_root", lambda _: f"file://{tmp_path}")
+    trained = pii.tagger(spark)
+    monkeypatch.setattr(pii, "invented_tagger", None)
+    assert all((trained.p[k] == v).all() for k, v in pii.tagger(spark).p.items())
+
+
 def test_query_and_mask(spark):
     texts = ["mail ann.b@x.org now +1 (559) 555-3817", "", None, "192.168.0.1 and 999.1.1.1", "card 4111 1111 1111 1111.", "no data here " * 3000 + "10.0.0.1", "call (559) 555-3817 today", "same a@b.co", "same a@b.co"]
     docs = spark.createDataFrame([(None if i == 5 else min(i, 7), t, 3, "k") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, spans string").repartition(2)
