@@ -3,7 +3,8 @@
 The posterior of a page's language multiplies four kinds of evidence:
 
 * text: naive Bayes over hashed character trigrams of the page's own text, learned from labelled
-  documents. Its weight is bounded: beyond ``TEXT_CAP`` trigrams the mean per trigram counts that often;
+  documents. Trigrams of one text are no independent evidence, so n of them weigh as
+  ``TEXT_SCALE * log(1 + n / TEXT_SCALE)`` of their mean;
 * the language that the markup declares, and the one that the address names (path segment or country
   suffix): likelihoods from confusion counts of all pages against their text posteriors;
 * the host: a prior from grouped sums of text posteriors, smoothed towards that of the host's domain,
@@ -12,7 +13,9 @@ The posterior of a page's language multiplies four kinds of evidence:
 All counts are grouped sums over every page, so a hot host is summed before it is shuffled, and pages
 meet their host's prior in a join that may be split by skew.
 
-The text model is fitted on at most ``TRAIN_ROWS`` documents, those with the smallest hash of their id.
+The text model is fitted on the documents of at most ``TRAIN_ROWS`` pairs of id and language, those with the
+smallest hash of the id. Only these pairs are sorted; texts are counted where they lie. Every language among
+them is told apart, so the model's size is bounded by ``TRAIN_ROWS`` languages.
 
 Defined results: null and empty pages are judged by the other evidence; a page without any has the
 corpus prior. Without labelled documents the language is null. A null url is the host ``""``. Repeated
@@ -35,9 +38,7 @@ from sparkquill.llm.site_style import _host, kept
 from sparkquill.session import stored
 
 TRAIN_ROWS, BUCKETS, GRAM = 4_000, 1 << 15, 3
-TEXT_CAP, SMOOTH_HOST, SMOOTH_DOMAIN, SMOOTH_LIKELIHOOD = 40, 5.0, 20.0, 2.0
-#: Languages at most; labels beyond the most frequent are not told apart from the rest.
-LANGUAGES = 100
+TEXT_SCALE, SMOOTH_HOST, SMOOTH_DOMAIN, SMOOTH_LIKELIHOOD = 40.0, 5.0, 20.0, 2.0
 _HTML_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([a-zA-Z]+)", re.IGNORECASE)
 _META_LANG = re.compile(r"<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-zA-Z]+)", re.IGNORECASE)
 
@@ -52,28 +53,34 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def fit(documents: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities by bucket."""
-    chosen = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(rows)
-    names = [r["lang"] for r in chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    """Languages, the most frequent first, and their log-probabilities by bucket."""
+    labelled = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    chosen = labelled.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).orderBy(F.xxhash64("_id"), "_id", "_lang").limit(rows)
+    chosen = stored(chosen.distinct(), "language-sample")
+    found = labelled.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")))  # `rows` small rows at most
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                got = np.bincount(trigrams(text), minlength=BUCKETS)
+                got = np.append(np.bincount(trigrams(text), minlength=BUCKETS), 1)  # the last one counts documents
                 total[lang] = total[lang] + got if lang in total else got
         for lang, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
-    table = np.zeros((len(names), BUCKETS))
-    got = chosen.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # LANGUAGES x BUCKETS numbers at most
-    where = {x: i for i, x in enumerate(names)}
-    for lang, bucket, n in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True):
-        if lang in where:
-            table[where[lang], bucket] = n
-    table = np.log((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * BUCKETS))
-    return names, table.astype(np.float32)
+    counts = found.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # the sample's languages x BUCKETS numbers at most
+    table: dict[str, np.ndarray] = {}
+    for lang, bucket, n in zip(*(counts.column(i).to_pylist() for i in range(3)), strict=True):
+        table.setdefault(lang, np.zeros(BUCKETS + 1))[bucket] = n
+    names = sorted(table, key=lambda x: (-table[x][BUCKETS], x))
+    logs = [np.log((table[x][:BUCKETS] + 0.5) / (table[x][:BUCKETS].sum() + 0.5 * BUCKETS)).astype(np.float32) for x in names]
+    return names, np.array(logs, np.float32).reshape(len(names), BUCKETS)
+
+
+def weight(n: int) -> float:
+    """What n trigrams of one text weigh."""
+    return TEXT_SCALE * float(np.log1p(n / TEXT_SCALE))
 
 
 def _log(x: Column) -> Column:
@@ -99,7 +106,7 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
                 said = m[1].lower() if m else None
                 declared.append(said if said in known else "other" if said else None)
                 at = trigrams(" ".join(kept(blocks(html), frozenset())))
-                scores.append((table[:, at].mean(1, dtype=np.float64) * min(len(at), TEXT_CAP) if len(at) else flat).tolist())
+                scores.append((table[:, at].mean(1, dtype=np.float64) * weight(len(at)) if len(at) else flat).tolist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(declared, pa.string()), pa.array(scores, pa.list_(pa.float64()))], ["page_id", "url", "host", "declared", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", _host(F.col("url")).alias("host"), "html").mapInArrow(read, "page_id long, url string, host string, declared string, text array<double>")
