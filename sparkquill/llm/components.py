@@ -1,7 +1,7 @@
 """Connected components of a large graph by alternating large-star and small-star steps.
 
 Every step is an aggregation to minima and a join; each round is written to the shared folder, so a
-lost executor costs a task and no lineage grows. A hub's edges are pre-aggregated before the shuffle,
+lost executor costs a task and no lineage grows; the round before is then deleted. A hub's edges are pre-aggregated before the shuffle,
 and the joins may be split by skew. Nothing of the graph reaches the driver but two sums a round.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.session import stored
+from sparkquill.session import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     now, mark = written(edges.toDF("a", "b"))
     while mark[0]:
-        now, after = written(_small_star(_large_star(now).where(F.col("a") != F.col("b")).distinct()))
+        before = now
+        now, after = written(_small_star(_large_star(before).where(F.col("a") != F.col("b")).distinct()))
+        discard(before)
         if after == mark:
             break
         mark = after

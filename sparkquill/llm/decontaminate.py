@@ -9,7 +9,8 @@ join. Only hits and one marker row for each document are shuffled.
 Defined results: a null or wordless text has no words, hits or items. A benchmark row without words
 has no windows; one with a null id still marks words as hit but is neither counted nor named.
 Repeated benchmark rows count once. Repeated ``doc_id``s give a row for each document row. Further
-columns of either table are ignored.
+columns of either table are ignored, or kept by ``remove_documents`` and ``remove_spans`` under any name. An
+empty benchmark contaminates nothing; empty documents give no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.session import stored
+from sparkquill.session import small, stored, unused
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,8 +27,6 @@ WINDOW = 10
 BROADCAST_BYTES = 64 << 20
 #: What a row of the window table costs in a hash relation, beside its words.
 ROW_BYTES = 300
-#: A stored row key, given where rows are removed.
-ROW = "_decontaminate_row"
 
 
 def words(text: Column) -> Column:
@@ -57,10 +56,12 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
 
     ``row`` names a column of stored row keys, which ``_row`` then holds.
     """
-    table = windows(benchmark, window)
+    table = stored(windows(benchmark, window), "decontaminate-windows")
     size = table.agg(F.sum(F.lit(ROW_BYTES) + F.octet_length(F.array_join("gram", " ")) + 16 * F.size("items")).alias("bytes")).first()
     slices = -(-(size["bytes"] or 1) // broadcast_bytes)
-    rows = documents.select((F.col(row) if row else F.monotonically_increasing_id()).alias("_row"), "doc_id", words(F.col("text")).alias("w"))
+    rows = documents.select((F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias("_row"), "doc_id", words(F.col("text")).alias("w"))
+    if slices > 1:
+        rows = stored(rows, "decontaminate-words")  # split and numbered once for all slices
     seen = rows.select("_row", "doc_id", "w", F.posexplode_outer("w").alias("_at", "_word"))
     start = F.col("_at") - F.col("_back") + 1
     found = None
@@ -100,20 +101,22 @@ def remove_documents(documents: DataFrame, benchmark: DataFrame, window: int = W
 
     Each row is judged by its own text: rows are told apart by a stored key, not by ``doc_id``.
     """
-    keyed = stored(documents.withColumn(ROW, F.monotonically_increasing_id()), "decontaminate-rows")
-    bad = scan(keyed, benchmark, window, broadcast_bytes, ROW).where(F.size("spans") > 0).select(F.col("_row").alias(ROW))
-    return keyed.join(bad, ROW, "left_anti").select(*documents.columns)
+    row = unused(documents, "_decontaminate_row")
+    keyed = stored(documents.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    bad = scan(keyed, benchmark, window, broadcast_bytes, row).where(F.size("spans") > 0).select(F.col("_row").alias(row))
+    return keyed.join(small(bad, "decontaminate-bad"), row, "left_anti").drop(row)
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents with every hit word, and the separators before it, cut out of the text.
 
-    Texts without a hit stay as they are. Repeated ``doc_id``s share the spans of all their rows.
+    Texts without a hit stay as they are. Each row is cut by its own hits.
     """
-    spans = scan(documents, benchmark, window, broadcast_bytes).where(F.size("spans") > 0)
-    spans = spans.groupBy(F.col("doc_id").alias("_bad")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
-    out = documents.join(spans, F.col("doc_id").eqNullSafe(F.col("_bad")), "left")
+    row, hits = unused(documents, "_decontaminate_row"), unused(documents, "_decontaminate_hits")
+    keyed = stored(documents.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    spans = scan(keyed, benchmark, window, broadcast_bytes, row).where(F.size("spans") > 0).select(F.col("_row").alias(row), F.col("spans").alias(hits))
+    out = keyed.join(small(spans, "decontaminate-spans"), row, "left")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(?:[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|$)"), F.lit(0))
-    kept = F.filter(pieces, lambda _, i: ~F.exists("_spans", lambda x: (i + 1 >= x["s"]) & (i + 1 < x["s"] + x["n"])))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return out.withColumn("text", text).drop("_bad", "_spans")
+    kept = F.filter(pieces, lambda _, i: ~F.exists(hits, lambda x: (i + 1 >= x["s"]) & (i + 1 < x["s"] + x["n"])))
+    text = F.when(F.col(hits).isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    return out.withColumn("text", text).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -18,7 +18,8 @@ still meet in its cluster. Links themselves are exact.
 Defined results: null, empty and wordless texts have no shingles and are linked with nothing. Rows of
 one ``doc_id`` are told apart by their text. A component's id is the smallest ``doc_id`` of its rows;
 null if all are null, and then its rows are kept. Further columns are ignored. ``one_of_each`` goes by
-rows: of each group one row stays, the first by (id, stored row key) with null ids last.
+rows: of each group one row stays, the first by (id, stored row key) with null ids last, with all its columns,
+whatever their names; texts without words are in no group and stay. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquill.llm.components import components
-from sparkquill.llm.tables import keep_only
-from sparkquill.session import stored
+from sparkquill.llm.tables import join_hot, keep_only
+from sparkquill.session import small, stored, unused
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 36, 6
@@ -159,18 +160,12 @@ def linked_components(sets: list[np.ndarray], label: np.ndarray | None = None, p
             label[np.isin(label, joined)] = joined[0]
 
 
-#: A stored row key, where ``one_of_each`` has given rows one.
-ROW = "_near_dup_row"
-
-
-def _rid(documents: DataFrame) -> Column:
-    return (F.col(ROW) if ROW in documents.columns else F.monotonically_increasing_id()).alias("rid")
-
-
 _SKETCH = "rid long, doc_id long, n long, digest binary, keys array<long>"
 
 
-def _sketches(documents: DataFrame) -> DataFrame:
+def _sketches(documents: DataFrame, row: str | None) -> DataFrame:
+    """Sketches of all rows; ``row`` names a column of stored row keys, else rows are numbered here."""
+
     def sketch(batches):
         keep_only("near_dup", _worker.cache_clear)
         shingler, bands = _worker()
@@ -183,7 +178,8 @@ def _sketches(documents: DataFrame) -> DataFrame:
                 keys.append(bands.keys(s) if len(s) >= _LEAST else None)
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "doc_id", "n", "digest", "keys"])
 
-    return documents.select(_rid(documents), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, _SKETCH)
+    rid = F.col(f"`{row}`") if row else F.monotonically_increasing_id()
+    return documents.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, _SKETCH)
 
 
 def _groups(batches, keys: tuple[str, ...]):
@@ -264,12 +260,13 @@ def _large_clusters(members: DataFrame, weights: DataFrame, block: int) -> DataF
     return dealt.mapInArrow(solve, "a long, b long").union(seen.where("near").select("v", "pivot"))
 
 
-def _placed(documents: DataFrame, task_shingles: int, broadcast_bytes: int) -> DataFrame:
+def _placed(documents: DataFrame, task_shingles: int, broadcast_bytes: int, row: str | None = None) -> DataFrame:
     """Per document row: rid, doc_id, n, root (of its component)."""
-    sketch = stored(_sketches(documents), "near-dup-sketches")
-    classes = sketch.where(F.col("n") > 0).groupBy("digest").agg(F.min("rid").alias("v"))
+    sketch = stored(_sketches(documents, row), "near-dup-sketches")
+    classes = stored(sketch.where(F.col("n") > 0).groupBy("digest").agg(F.min("rid").alias("v"), F.count(F.lit(1)).alias("copies")), "near-dup-digests")
     own = F.coalesce("v", "rid")
-    rows = sketch.join(classes, "digest", "left").select("rid", "doc_id", "n", own.alias("v"), F.when(own == F.col("rid"), F.col("keys")).alias("keys"), F.when(own == F.col("rid"), F.col("digest")).alias("digest"))
+    named = join_hot(sketch.where(F.col("n") > 0), classes, "digest", "copies").unionByName(sketch.where(F.col("n") == 0).withColumn("v", F.lit(None).cast("long")))
+    rows = named.select("rid", "doc_id", "n", own.alias("v"), F.when(own == F.col("rid"), F.col("keys")).alias("keys"), F.when(own == F.col("rid"), F.col("digest")).alias("digest"))
     rows = stored(rows, "near-dup-classes")
 
     buckets = rows.where(F.col("keys").isNotNull()).select("v", F.explode("keys").alias("key"))
@@ -293,8 +290,8 @@ def _placed(documents: DataFrame, task_shingles: int, broadcast_bytes: int) -> D
                 sets.append(s if xxhash.xxh3_128_digest(s) == digest else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], ["cluster", "size", "v", "n", "shingles"])
 
-    if ROW in documents.columns:
-        full = documents.select(F.col(ROW), "text").join(probe, F.col(ROW) == F.col("v"))
+    if row:
+        full = documents.select(F.col(f"`{row}`").alias("v"), "text").join(probe, "v")
     else:
         texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         full = texts.join(probe, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
@@ -308,20 +305,26 @@ def _placed(documents: DataFrame, task_shingles: int, broadcast_bytes: int) -> D
         roots = roots.union(components(links, "near-dup-links").where(F.col("v") != F.col("root")))
     roots = stored(roots, "near-dup-roots")
 
-    return rows.select("rid", "doc_id", "n", "v").join(roots, "v", "left").select("rid", "doc_id", "n", F.coalesce("root", "v").alias("root"))
+    # Only classes with another root are in ``roots``; those of many copies are hot.
+    copies = classes.select("v", "copies").join(roots, "v")
+    moved = stored(copies, "near-dup-moved")
+    rows = rows.select("rid", "doc_id", "n", "v")
+    there = rows.join(moved.select("v"), "v", "left_anti").withColumn("root", F.col("v"))
+    return there.unionByName(join_hot(rows, moved, "v", "copies")).drop("v")
 
 
 def near_duplicates(documents: DataFrame, task_shingles: int = TASK_SHINGLES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept."""
-    placed = _placed(documents, task_shingles, broadcast_bytes)
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    placed = stored(_placed(documents, task_shingles, broadcast_bytes), "near-dup-placed")
+    least = stored(placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")), "near-dup-least")
+    return join_hot(placed, least, "root", "rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(documents: DataFrame, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """One row of each component, the first by (id, row key) with null ids last, with all its columns."""
-    keyed = stored(documents.withColumn(ROW, F.monotonically_increasing_id()), "near-dup-rows")
-    placed = stored(_placed(keyed, task_shingles, BROADCAST_BYTES), "near-dup-placed")
+    row = unused(documents, "_near_dup_row")
+    keyed = stored(documents.withColumn(row, F.monotonically_increasing_id()), "near-dup-rows")
+    placed = stored(_placed(keyed, task_shingles, BROADCAST_BYTES, row), "near-dup-placed")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid")))["rid"].alias("rid"))
-    gone = placed.join(first, "rid", "left_anti").select(F.col("rid").alias(ROW))
-    return keyed.join(gone, ROW, "left_anti").select(*documents.columns)
+    gone = placed.join(first, "rid", "left_anti").select(F.col("rid").alias(row))
+    return keyed.join(small(gone, "near-dup-gone"), row, "left_anti").drop(row)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm import char_tagger
 from sparkquill.llm.char_tagger import KINDS, TAGS, WINDOW, Tagger, codes, invented_tagger, luhn
+from sparkquill.llm.tables import map_columns
 from sparkquill.session import scratch_root
 
 LEAST_DIGITS = 7
@@ -196,13 +197,12 @@ def mask(documents: DataFrame, model: Tagger | None = None) -> DataFrame:
     """The documents with personal data replaced by its kind; ``n_chars``, if there, is counted anew."""
     model = model or tagger(documents.sparkSession)
     at = documents.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 
     def masks(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(at).to_pylist()
             new = [masked(x, spans) for x, (_, spans) in zip(texts, find(texts, model), strict=True)]
-            yield batch.set_column(at, "text", pa.array(new, batch.schema.field(at).type))
+            yield batch.set_column(at, f"c{at}", pa.array(new, batch.schema.field(at).type))
 
-    out = documents.mapInArrow(masks, schema)
+    out = map_columns(documents, masks, documents.schema)
     return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from sparkquill.llm.tables import keep_only
+from sparkquill.llm.tables import keep_only, map_columns
 
 TRAIN_ROWS = 4_000
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 17, 8, (3, 4)
@@ -182,25 +183,28 @@ def _scorer(model: Model):
         # Counts first: a fixed order of additions gives equal texts equal scores in every worker.
         return model.probability(sums[at].sum(0) + repeated * (at[1:] == at[:-1]).sum())
 
-    score.learn = learn
+    def every(texts: list[str | None]) -> np.ndarray:
+        for k in range(0, len(texts), 256):
+            learn([w for x in texts[k : k + 256] for w in (x or "").split()])
+        return np.array([score(x) for x in texts], np.float64)
+
+    score.all = every
     return score
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of the documents with their score and the class at the threshold."""
-    names = documents.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", score double, predicted int"
+    """All columns of the documents with their score and the class at the threshold, which take the place of columns so named."""
+    documents = documents.drop("score", "predicted")
+    at = documents.columns.index("text")
+    schema = StructType([*documents.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def scored(batches):
         of = _scorer(model)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for k in range(0, len(texts), 256):
-                of.learn([w for x in texts[k : k + 256] for w in (x or "").split()])
-            values = np.array([of(x) for x in texts], np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            values = of.all(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], [f"c{i}" for i in range(len(schema))])
 
-    return documents.mapInArrow(scored, schema)
+    return map_columns(documents, scored, schema)
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -209,7 +213,15 @@ def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier takes for good, with all their columns."""
-    kept = score(documents, fit(documents, labels)).where("predicted = 1")
-    return kept.drop("score", "predicted")
+def good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The document rows that the classifier takes for good, each by its own text, with all their columns."""
+    model = fit(documents, labels)
+    at = documents.columns.index("text")
+
+    def chosen(batches):
+        of = _scorer(model)
+        for batch in batches:
+            values = of.all(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(values >= threshold))
+
+    return map_columns(documents, chosen, documents.schema)

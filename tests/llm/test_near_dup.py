@@ -67,6 +67,21 @@ def test_shuffled_candidates_and_filter(spark):
     assert set(kept) == {r[0] for r in brute(rows) if r[3]}
 
 
+def test_hot_groups_and_clashing_names(spark, monkeypatch):
+    from sparkquill.llm import tables
+
+    monkeypatch.setattr(tables, "HOT_ROWS", 3)
+    rows = corpus(5, 12)
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, _gone int, _NEAR_dup_row int, rid int").repartition(5)
+    for task in (near_dup.TASK_SHINGLES, 600):
+        assert sorted(map(tuple, near_dup.near_duplicates(docs, task).collect()), key=str) == brute(rows)
+        out = near_dup.one_of_each(docs, task)
+        assert out.columns == docs.columns
+        left = [(r.doc_id, r.text) for r in out.collect()]
+        assert len({shingles(t) for _, t in left if shingles(t)}) == sum(bool(shingles(t)) for _, t in left)
+        assert {r[0] for r in brute(rows) if r[3]} <= {i for i, _ in left} | {None}
+
+
 def test_empty_table(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -135,3 +135,5 @@ def test_query_and_mask(spark):
     assert out[0].text == "mail [EMAIL] now [PHONE]" and out[0].n_chars == len(out[0].text) and out[2].text is None
     assert out[None].text.endswith("here [IP]") and out[3].text == "[IP] and 999.1.1.1"
     assert pii.personal_data(docs.limit(0)).count() == 0
+    dotted = docs.withColumnRenamed("spans", "a.b")
+    assert pii.mask(dotted).columns == dotted.columns and pii.mask(dotted).count() == len(texts)

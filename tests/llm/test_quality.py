@@ -4,6 +4,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from sparkquill.llm import quality
 
 
@@ -58,3 +60,6 @@ def test_no_labels_and_no_documents(spark):
     assert [tuple(r) for r in quality.quality(docs, none).collect()] == [(1, False, 0.5, 1)]
     assert quality.quality(docs.limit(0), none).count() == 0
     assert quality.good(docs, none).columns == docs.columns
+    clashing = docs.withColumns({"score": F.lit("mine"), "predicted": F.lit(-1), "a.b": F.lit(2)})
+    kept = quality.good(clashing, none)
+    assert kept.columns == clashing.columns and all(r.score == "mine" and r.predicted == -1 for r in kept.collect())
