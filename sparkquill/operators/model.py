@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkquill.session import small
+
 TOTAL = 1 << 18
 
 
@@ -26,7 +28,7 @@ def probabilities(model: DataFrame) -> DataFrame:
 
 def masked(model: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Probabilities over the tokens of a vocabulary only, renormalised."""
-    return probabilities(model.join(F.broadcast(vocabulary.select("token")), "token", "left_semi"))
+    return probabilities(model.join(small(vocabulary.select("token"), "mask"), "token", "left_semi"))
 
 
 def softmax(score: Column, *keys: str) -> Column:
@@ -56,7 +58,7 @@ def most_likely(model: DataFrame) -> DataFrame:
 
 def least_likely(model: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """(ctx, token, n) of the least frequent token among the candidates, ties to the first in order."""
-    rows = model if candidates is None else model.join(F.broadcast(candidates.select("token")), "token", "left_semi")
+    rows = model if candidates is None else model.join(small(candidates.select("token"), "candidates"), "token", "left_semi")
     return rows.groupBy("ctx").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.min("n").alias("n"))
 
 
@@ -85,7 +87,7 @@ def frequencies(model: DataFrame, size: int, total: int = TOTAL) -> DataFrame:
 
 def intervals(freqs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Frequencies with (dense_id, cum_lo, cum_hi): unseen tokens before one take a unit each."""
-    ids = freqs.join(F.broadcast(vocabulary.select("token", "dense_id")), "token")
+    ids = freqs.join(small(vocabulary.select("token", "dense_id"), "vocabulary"), "token")
     w = Window.partitionBy("ctx").orderBy("dense_id").rowsBetween(Window.unboundedPreceding, -1)
     lo = F.col("dense_id") + F.coalesce(F.sum(F.col("freq") - 1).over(w), F.lit(0))
     return ids.withColumn("cum_lo", lo.cast("bigint")).withColumn("cum_hi", F.col("cum_lo") + F.col("freq"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkquill.session import small
+
 
 def lifted(runs: DataFrame) -> DataFrame:
     """The fields of ``compression`` and its ``args`` beside the key; args win where both have a name."""
@@ -51,10 +53,11 @@ def where_equal(rows: DataFrame, **values) -> DataFrame:
     return reduce(lambda df, kv: df.where(F.col(kv[0]) == kv[1]) if kv[0] in df.columns else df, values.items(), rows)
 
 
-def scaled(x: Column, low: float, high: float) -> Column:
-    """Min-max over all rows, to a range."""
-    w = Window.partitionBy(F.lit(0))
-    return low + (x - F.min(x).over(w)) / (F.max(x).over(w) - F.min(x).over(w) + 1e-9) * (high - low)
+def scaled(rows: DataFrame, x: str, low: float, high: float, name: str) -> DataFrame:
+    """The rows with ``x`` scaled from its least and greatest value to a range, as ``name``."""
+    ends = rows.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))  # one row
+    place = low + (F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9) * (high - low)
+    return rows.crossJoin(F.broadcast(ends)).withColumn(name, place).drop("_lo", "_hi")
 
 
 def expected(rows: DataFrame, number: int) -> DataFrame:
@@ -71,7 +74,7 @@ def grid(rows: DataFrame, row: str, column: str, values: list, measure: str) ->
 
 def missing_cells(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs of occurring values that do not occur together."""
-    every = rows.select(a).distinct().crossJoin(F.broadcast(rows.select(b).distinct()))
+    every = rows.select(a).distinct().crossJoin(small(rows.select(b).distinct(), "columns"))
     return every.join(rows.select(a, b).distinct(), [a, b], "left_anti")
 
 

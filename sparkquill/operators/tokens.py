@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquill.session import stored
+from sparkquill.session import small, stored
 
 
 def characters(text: Column) -> Column:
@@ -70,7 +70,7 @@ def numbered(rows: DataFrame, *order: str | Column, name: str = "id") -> DataFra
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row for each range.
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return placed.join(small(before, "numbered-ranges"), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def vocabulary(rows: DataFrame, *keys: str) -> DataFrame:
@@ -83,7 +83,9 @@ def vocabulary(rows: DataFrame, *keys: str) -> DataFrame:
 
 def by_frequency(rows: DataFrame) -> DataFrame:
     """(token, n, id): numbered from the most frequent, ties by first occurrence."""
-    counted = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    # Numbers alone are summed by hash; the pair that tells the first occurrence is made of few rows.
+    each = rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    counted = each.groupBy("token").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
     return numbered(counted, F.desc("n"), F.col("first")).select("token", "n", F.col("id").cast("int").alias("id"))
 
 

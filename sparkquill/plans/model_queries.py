@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquill.functions import pmatic
 from sparkquill.operators import attacks, codecs
 from sparkquill.operators import model as md
 from sparkquill.operators import tokens as tk
-from sparkquill.session import spread, table
+from sparkquill.session import small, spread, stored, table
 
 T = md.TOTAL
 C1 = "c1 AS (SELECT doc_id, lang, pos, token, coalesce(lag(token) OVER (PARTITION BY doc_id ORDER BY pos), '') AS ctx FROM (SELECT doc_id, lang, unnest(string_split(text, '')) AS token, unnest(range(len(string_split(text, '')))) AS pos FROM documents))"
@@ -26,7 +27,8 @@ def _docs(spark, d):
 
 
 def _model(spark, d):
-    return md.counts(tk.with_context(_docs(spark, d), tk.characters(F.col("text")), "doc_id"))
+    """The counts, stored: what reads them twice counts the corpus once."""
+    return stored(md.counts(tk.with_context(_docs(spark, d), tk.characters(F.col("text")), "doc_id")), "model")
 
 
 def _freqs(spark, d, total=T):
@@ -67,7 +69,7 @@ def p8_greedy_token(spark, d):
 def p10_accepted_prefix(spark, d):
     """A draft proposes each next character from the one before; the text verifies it, 8 at a time."""
     best = md.most_likely(_model(spark, d)).select("ctx", F.col("token").alias("draft"))
-    rows = tk.with_context(_docs(spark, d), tk.characters(F.col("text")), "doc_id").join(F.broadcast(best), "ctx")
+    rows = tk.with_context(_docs(spark, d), tk.characters(F.col("text")), "doc_id").join(small(best, "drafts"), "ctx")
     cycle = rows.groupBy("doc_id", F.floor(F.col("pos") / 8).alias("cycle")).agg(F.count(F.lit(1)).alias("proposed"), F.min(F.when(F.col("draft") != F.col("token"), F.col("pos") % 8)).alias("miss"))
     accepted = F.coalesce("miss", F.col("proposed"))
     return cycle.groupBy("doc_id").agg(F.sum(accepted).cast("bigint").alias("accepted"), F.count("miss").alias("rejected"), F.sum(F.col("proposed") - accepted - F.col("miss").isNotNull().cast("int")).cast("bigint").alias("abandoned"))
@@ -95,13 +97,18 @@ def e3_binary_frequencies(spark, d):
 
 def e7_cross_entropy(spark, d):
     freqs = _freqs(spark, d).select("ctx", "token", md.ideal_bits(F.col("freq")).alias("bits"))
-    rows = tk.with_context(_docs(spark, d), tk.characters(F.col("text")), "doc_id").join(F.broadcast(freqs), ["ctx", "token"])
+    rows = tk.with_context(_docs(spark, d), tk.characters(F.col("text")), "doc_id").join(small(freqs, "bits"), ["ctx", "token"])
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum("bits"), 4).alias("bits"))
 
 
+def _bit_width(size):
+    return max(1, (size - 1).bit_length())
+
+
 def e9_token_bits(spark, d):
+    """Ids in as many bits as the vocabulary needs, the first bit first."""
     v = tk.vocabulary(_model(spark, d))
-    return v.select("token", F.lpad(F.bin(F.col("dense_id").cast("bigint")), 8, "0").alias("bits"))
+    return v.select("token", F.lpad(F.bin(F.col("dense_id").cast("bigint")), _bit_width(v.count()), "0").alias("bits"))
 
 
 def e10_next_power_of_two(spark, d):
@@ -110,8 +117,14 @@ def e10_next_power_of_two(spark, d):
 
 
 def e11_conditional_bits(spark, d):
-    model = _model(spark, d)
-    rows = model.join(F.broadcast(tk.vocabulary(model)), "token").select("ctx", "n", "dense_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("shift"))
+    return _conditional(_model(spark, d))
+
+
+def _conditional(model, vocabulary=None):
+    """(ctx, shift, prefix, p1): how likely each bit of an id is 1, given the bits before it."""
+    vocabulary = stored(tk.vocabulary(model), "vocabulary") if vocabulary is None else vocabulary
+    width = _bit_width(vocabulary.count())
+    rows = model.join(small(vocabulary, "vocabulary"), "token").select("ctx", "n", "dense_id", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("shift"))
     rows = rows.groupBy("ctx", "shift", F.expr("shiftright(dense_id, shift + 1)").alias("prefix")).agg(F.sum("n").alias("n"), F.sum(F.when(F.expr("shiftright(dense_id, shift) & 1") == 1, F.col("n")).otherwise(0)).alias("ones"))
     return rows.select("ctx", "shift", "prefix", F.round(F.try_divide("ones", "n"), 9).alias("p1"))
 
@@ -135,9 +148,15 @@ def e14_pmatic_radius(spark, d):
 
 def e15_greatest_difference(spark, d):
     """Between each context's conditional bits and those of the context-free model."""
-    bits = e11_conditional_bits(spark, d)
-    flat = bits.where(F.col("ctx") == " ").select("shift", "prefix", F.col("p1").alias("other"))
-    return bits.join(F.broadcast(flat), ["shift", "prefix"]).groupBy("ctx").agg(F.round(F.max(F.abs(F.col("p1") - F.col("other"))), 8).alias("difference"))
+    model = _model(spark, d)
+    vocabulary = stored(tk.vocabulary(model), "vocabulary")
+    free = model.groupBy("token").agg(F.sum("n").alias("n")).select(F.lit("").alias("ctx"), "token", "n")
+    flat = stored(_conditional(free, vocabulary).select("shift", "prefix", F.col("p1").alias("other")), "flat")
+    # A prefix that a context never has is undecided there: one half.
+    bits = _conditional(model, vocabulary)
+    every = model.select("ctx").distinct().join(small(flat, "flat"))
+    both = every.join(bits, ["ctx", "shift", "prefix"], "left")
+    return both.groupBy("ctx").agg(F.round(F.max(F.abs(F.coalesce("p1", F.lit(0.5)) - F.col("other"))), 8).alias("difference"))
 
 
 def e17_helper_share(spark, d):
@@ -150,7 +169,7 @@ def e18_ranks(spark, d):
 
 def _doc_ranks(spark, d):
     ranks = md.ranks(_model(spark, d)).select("ctx", "token", "order")
-    return tk.with_context(_docs(spark, d), tk.characters(F.col("text")), "doc_id").join(F.broadcast(ranks), ["ctx", "token"])
+    return tk.with_context(_docs(spark, d), tk.characters(F.col("text")), "doc_id").join(small(ranks, "ranks"), ["ctx", "token"])
 
 
 def e19_packed_size(spark, d):
@@ -191,9 +210,7 @@ def e30_payload_bounds(spark, d):
 def e31_held_out_codec(spark, d):
     """A model of nine tenths of the documents codes the last tenth, unseen contexts and characters included."""
     docs = _docs(spark, d)
-    model = codecs.fit(docs.where(F.col("doc_id") % 10 < 9), order=2)
-    alphabet = {r["token"] for r in docs.select(F.explode(tk.characters(F.col("text"))).alias("token")).distinct().collect()}
-    model = codecs.CharModel(model.alphabet + sorted(alphabet - set(model.alphabet)), 2, T, {k: v for k, v in model.table.items() if not alphabet - set(model.alphabet)})
+    model = codecs.fit_open(docs.where(F.col("doc_id") % 10 < 9), order=2)
     held = docs.where(F.col("doc_id") % 10 == 9)
     return codecs.arithmetic_decoded(codecs.arithmetic(held, model), model)
 
@@ -207,10 +224,8 @@ def e32_compression_statistics(spark, d):
 
 def e8_pmatic_round_trip(spark, d):
     """Every benchmark text, coded with one model and decoded with one that differs by up to delta."""
-    docs = _docs(spark, d)
-    model = codecs.fit(docs)
     items = table(spark, d, "benchmark").where(F.length("text") > 0)
-    known = set(model.alphabet)
+    model = codecs.fit(_docs(spark, d).select("text").unionByName(items.select("text")))
     size, delta = len(model.alphabet), 0.01
 
     def vector(ctx):
@@ -222,7 +237,6 @@ def e8_pmatic_round_trip(spark, d):
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = "".join(c for c in text if c in known)
                 contexts = [text[i - 1 : i] for i in range(len(text))]
                 for c in set(contexts) - set(exact):
                     exact[c] = vector(c)
@@ -270,8 +284,8 @@ def v4_rescored_by_document(spark, d):
     rows = tk.with_context(docs, tk.characters(F.col("text")), "doc_id", "lang")
     model = _model(spark, d)
     vocabulary = rows.select("lang", "token").distinct()
-    own = model.join(F.broadcast(vocabulary), "token").withColumn("p", F.try_divide("n", F.sum("n").over(Window.partitionBy("lang", "ctx"))))
-    return rows.join(F.broadcast(own.select("lang", "ctx", "token", "p")), ["lang", "ctx", "token"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(-F.log2("p")), 3).alias("bits"))
+    own = model.join(small(vocabulary, "languages"), "token").withColumn("p", F.try_divide("n", F.sum("n").over(Window.partitionBy("lang", "ctx"))))
+    return rows.join(small(own.select("lang", "ctx", "token", "p"), "own"), ["lang", "ctx", "token"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(-F.log2("p")), 3).alias("bits"))
 
 
 def v5_ranked_candidates(spark, d):
@@ -299,22 +313,26 @@ def v19_quantisation_sweep(spark, d):
     return out
 
 
-def _searches(spark, d, run):
+def _predictor(model):
+    """Log-probabilities of all ids after given ones, under an order-1 model."""
+    rows = {}
+
+    def predict(tokens):
+        ctx = model.alphabet[tokens[-1]] if tokens else ""
+        if ctx not in rows:
+            f = np.array([hi - lo for lo, hi in (model.interval(ctx, t) for t in model.alphabet)], float)
+            rows[ctx] = np.log(f / f.sum())
+        return rows[ctx]
+
+    return predict
+
+
+def _searches(spark, model, run):
     """One search for each character of the alphabet as the start, each in its own row."""
-    docs = _docs(spark, d)
-    model = codecs.fit(docs)
     size = len(model.alphabet)
 
     def search(batches):
-        rows = {}
-
-        def predict(tokens):
-            ctx = model.alphabet[tokens[-1]] if tokens else ""
-            if ctx not in rows:
-                f = np.array([hi - lo for lo, hi in (model.interval(ctx, t) for t in model.alphabet)], float)
-                rows[ctx] = np.log(f / f.sum())
-            return rows[ctx]
-
+        predict = _predictor(model)
         for batch in batches:
             out = []
             for start in batch.column(0).to_pylist():
@@ -330,44 +348,75 @@ def _width(model):
     return lambda _, v: len(model.alphabet[v].encode())
 
 
+_ATTACKS = {
+    "minprob": lambda p, m, s, c: attacks.greedy(p, [s], 32, c, 16, 4),
+    "per_byte": lambda p, m, s, c: attacks.greedy(p, [s], 32, c, 16, 4, width=_width(m)),
+    "random": lambda p, m, s, c: attacks.uniform(p, [s], 32, c, 16, 4, seed=s),
+    "beam": lambda p, m, s, c: attacks.beam(p, [s], 12, c, 16, 4, 3, 3, width=_width(m)),
+}
+
+
 def v3_worst_sequences(spark, d):
-    return _searches(spark, d, lambda p, m, s, c: attacks.greedy(p, [s], 32, c, 16, 4))
+    return _searches(spark, codecs.fit(_docs(spark, d)), _ATTACKS["minprob"])
 
 
 def v7_worst_per_byte(spark, d):
-    return _searches(spark, d, lambda p, m, s, c: attacks.greedy(p, [s], 32, c, 16, 4, width=_width(m)))
+    return _searches(spark, codecs.fit(_docs(spark, d)), _ATTACKS["per_byte"])
 
 
 def v8_uniform_control(spark, d):
-    return _searches(spark, d, lambda p, m, s, c: attacks.uniform(p, [s], 32, c, 16, 4, seed=s))
+    return _searches(spark, codecs.fit(_docs(spark, d)), _ATTACKS["random"])
 
 
 def v9_beam_search(spark, d):
-    return _searches(spark, d, lambda p, m, s, c: attacks.beam(p, [s], 12, c, 16, 4, 3, 3, width=_width(m)))
+    return _searches(spark, codecs.fit(_docs(spark, d)), _ATTACKS["beam"])
 
 
 def v12_all_attacks(spark, d):
-    parts = [f(spark, d).withColumn("attack", F.lit(n)) for n, f in (("minprob", v3_worst_sequences), ("per_byte", v7_worst_per_byte), ("random", v8_uniform_control), ("beam", v9_beam_search))]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    """All attacks under one model, which is fitted once."""
+    model = codecs.fit(_docs(spark, d))
+    parts = [_searches(spark, model, run).withColumn("attack", F.lit(name)) for name, run in _ATTACKS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+SPECULATED, AHEAD = 24, 4
 
 
 def e28_speculative(spark, d):
-    """The verifier drafts for itself: everything is accepted."""
-    return _searches(spark, d, lambda p, m, s, c: _accepted(p, s)).select("start", "generated_tokens", F.col("surprisal_bits").alias("acceptance_rate"))
+    """Greedy decoding by the documents' model, drafted by that of the benchmark: accepted, rejected and abandoned drafts."""
+    model, other = codecs.fit(_docs(spark, d)), codecs.fit(table(spark, d, "benchmark").select("text"))
+    best = {ctx: other.alphabet[max(zip(f, (-i for i in ids), strict=True))[1] * -1] for ctx, (ids, _, f) in other.table.items()}
+
+    def draft(tokens):
+        """All weight on what the other model takes for likeliest after the last character."""
+        p = np.zeros(len(model.alphabet))
+        p[model.index.get(best.get(model.alphabet[tokens[-1]], " "), 0)] = 1
+        return p
+
+    def run(predict, _, start, __):
+        tokens, n = attacks.speculative(draft, predict, [start], SPECULATED, AHEAD)
+        return tokens, n
 
+    return _decoded(spark, model, run)
+
+
+def _decoded(spark, model, run):
+    size = len(model.alphabet)
+
+    def search(batches):
+        predict = _predictor(model)
+        for batch in batches:
+            out = []
+            for start in batch.column(0).to_pylist():
+                tokens, n = run(predict, model, int(start), list(range(size)))
+                out.append({"start": model.alphabet[start], "text": "".join(model.alphabet[t] for t in tokens), **{k: n[k] for k in ("accepted", "rejected", "abandoned", "cycles")}})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("start", pa.string()), ("text", pa.string()), *((k, pa.int64()) for k in ("accepted", "rejected", "abandoned", "cycles"))]))
 
-def _accepted(predict, start):
-    tokens, n = attacks.speculative(predict, predict, [start], 24, 4)
-    g = attacks.Generation(tokens, 1, [0.0] * n["accepted"])
-    g.summary = lambda: {"generated_tokens": n["accepted"], "distinct_tokens": len(set(tokens)), "surprisal_bits": n["acceptance_rate"]}
-    return g
+    return spark.range(size).mapInArrow(search, "start string, text string, accepted long, rejected long, abandoned long, cycles long")
 
 
 _LETTERS = "(VALUES " + ", ".join(f"('{c}')" for c in "abcdefghijklmnopqrstuvwxyz") + ") l(token)"
-_E11 = f"WITH {M1}, v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS d FROM (SELECT DISTINCT token FROM m)), e AS (SELECT ctx, shift::INTEGER AS shift, (d >> (shift + 1)::INTEGER)::INTEGER AS prefix, round(sum(CASE WHEN (d >> shift::INTEGER) & 1 = 1 THEN n ELSE 0 END) / sum(n), 9) AS p1 FROM m JOIN v USING (token), range(7) t(shift) GROUP BY ALL)"
+_E11 = f"WITH {M1}, v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS d FROM (SELECT DISTINCT token FROM m)), e AS (SELECT ctx, shift::INTEGER AS shift, (d >> (shift + 1)::INTEGER)::INTEGER AS prefix, round(sum(CASE WHEN (d >> shift::INTEGER) & 1 = 1 THEN n ELSE 0 END) / sum(n), 9) AS p1 FROM m JOIN v USING (token), k, range(32) t(shift) WHERE shift < greatest(1, length(bin(k - 1))) GROUP BY ALL)"
 _E12 = _E11 + ", q AS (SELECT ctx, shift, prefix, p1, floor(p1 * 24 + 0.5) AS near FROM e), h AS (SELECT *, near > 0 AND near < 24 AND abs(p1 - near / 24) < 0.01 AS helper FROM q)"
 _RANK = f"{M1}, r AS (SELECT ctx, token, row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) - 1 AS o FROM m), x AS (SELECT doc_id, pos, o FROM c1 JOIN r USING (ctx, token))"
 _FULL = "SELECT doc_id, sha256(text) AS sha256, length(text)::BIGINT AS n_tokens FROM documents"
@@ -391,12 +440,12 @@ SQL = {
     "e1_intervals": f"WITH {M1}, {FREQ.format(t=T)}, v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS d FROM (SELECT DISTINCT token FROM m)), i AS (SELECT ctx, token, freq, d + coalesce(sum(freq - 1) OVER (PARTITION BY ctx ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM f JOIN v USING (token)) SELECT ctx, token, lo::BIGINT AS cum_lo, (lo + freq)::BIGINT AS cum_hi FROM i",
     "e3_binary_frequencies": f"WITH p AS (SELECT doc_id, coalesce((length(text) - length(replace(text, ' ', ''))) / nullif(length(text), 0), 0.0) AS p FROM documents), o AS (SELECT doc_id, least(greatest(floor(least(greatest(p, 1e-12), 1 - 1e-12) * {T}), 1), {T} - 1)::BIGINT AS ones FROM p) SELECT doc_id, {T} - ones AS zeros, ones FROM o",
     "e7_cross_entropy": f"WITH {M1}, {FREQ.format(t=T)} SELECT doc_id, count(*) AS n_tokens, round(sum(18.0::DOUBLE - log2(freq)), 4) AS bits FROM c1 JOIN f USING (ctx, token) GROUP BY doc_id",
-    "e9_token_bits": f"WITH {M1} SELECT token, lpad(bin(row_number() OVER (ORDER BY token) - 1), 8, '0') AS bits FROM (SELECT DISTINCT token FROM m)",
+    "e9_token_bits": f"WITH {M1} SELECT token, lpad(bin(row_number() OVER (ORDER BY token) - 1), greatest(1, length(bin(k - 1)))::INTEGER, '0') AS bits FROM (SELECT DISTINCT token FROM m), k",
     "e10_next_power_of_two": "SELECT doc_id, (CASE WHEN length(text) <= 1 THEN 1 ELSE 1::BIGINT << length(bin(length(text) - 1)) END)::BIGINT AS size FROM documents",
     "e11_conditional_bits": _E11 + " SELECT * FROM e",
     "e12_pmatic_rounding": _E12 + " SELECT ctx, shift, prefix, helper::INTEGER AS helper, round(CASE WHEN helper THEN near / 24 ELSE (2 * least(floor(p1 * 24), 23) + 1) / 48 END, 9) AS q FROM h",
     "e14_pmatic_radius": "SELECT * FROM (VALUES (0.001::DOUBLE, 247, round(0.0020242914979757085, 12)), (0.01, 24, round(1 / 48.0::DOUBLE, 12)), (0.24, 1, 0.5)) v(delta, m, r)",
-    "e15_greatest_difference": _E11 + " SELECT e.ctx, round(max(abs(e.p1 - o.p1)), 8) AS difference FROM e JOIN e o ON o.ctx = ' ' AND o.shift = e.shift AND o.prefix = e.prefix GROUP BY e.ctx",
+    "e15_greatest_difference": _E11 + ", o AS (SELECT shift::INTEGER AS shift, (d >> (shift + 1)::INTEGER)::INTEGER AS prefix, round(sum(CASE WHEN (d >> shift::INTEGER) & 1 = 1 THEN n ELSE 0 END) / sum(n), 9) AS other FROM m JOIN v USING (token), k, range(32) t(shift) WHERE shift < greatest(1, length(bin(k - 1))) GROUP BY ALL) SELECT ctx, round(max(abs(coalesce(p1, 0.5) - other)), 8) AS difference FROM (SELECT DISTINCT ctx FROM m) c CROSS JOIN o LEFT JOIN e USING (ctx, shift, prefix) GROUP BY ctx",
     "e17_helper_share": _E12 + " SELECT shift, round(avg(helper::INTEGER), 8) AS helper_share FROM h GROUP BY shift",
     "e18_ranks": f"WITH {M1} SELECT ctx, token, (rank() OVER (PARTITION BY ctx ORDER BY n DESC) - 1)::BIGINT AS rank, (row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) - 1)::BIGINT AS \"order\" FROM m",
     "e19_packed_size": f"WITH {_RANK} SELECT doc_id, (count(*) * greatest(1, length(bin(max(o)))))::BIGINT AS bits FROM x GROUP BY doc_id",

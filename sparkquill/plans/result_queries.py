@@ -102,7 +102,7 @@ def r9_filter(spark, d):
 
 
 def r10_scaled(spark, d):
-    return _flat(spark).select("run_key", F.round(rs.scaled(F.col("final_size_bytes"), 25.0, 200.0), 6).alias("marker"))
+    return rs.scaled(_flat(spark), "final_size_bytes", 25.0, 200.0, "marker").select("run_key", F.round("marker", 6).alias("marker"))
 
 
 def r11_base_models(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.operators import bpe
 from sparkquill.operators import tokens as tk
-from sparkquill.session import table
+from sparkquill.session import small, table
 
 CHARS = "ch AS (SELECT doc_id, lang, source, unnest(string_split(text, '')) AS token, unnest(range(len(string_split(text, '')))) AS pos FROM documents)"
 WORDS = r"wd AS (SELECT doc_id, lang, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, lang, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents))"
@@ -125,14 +125,14 @@ def t12_bitmap_bits(spark, d):
 
 
 def t13_index_to_token(spark, d):
-    vocabulary = tk.vocabulary(_chars(spark, d))
-    rows = _chars(spark, d, "doc_id").where(F.col("pos") < 20).join(F.broadcast(vocabulary), "token")
-    back = rows.select("doc_id", "pos", "dense_id").join(F.broadcast(vocabulary), "dense_id")
+    vocabulary = small(tk.vocabulary(_chars(spark, d)), "vocabulary")
+    rows = _chars(spark, d, "doc_id").join(vocabulary, "token")
+    back = rows.select("doc_id", "pos", "dense_id").join(vocabulary, "dense_id")
     return back.groupBy("doc_id").agg(F.sum((F.col("pos") + 1) * F.col("dense_id")).cast("bigint").alias("mark"), F.min_by("token", "pos").alias("first"))
 
 
 def t14_candidates(spark, d):
-    ids = F.transform(tk.characters(F.substring("text", 1, 40)), lambda x: F.ascii(x) % 97)
+    ids = F.transform(tk.characters(F.col("text")), lambda x: F.ascii(x) % 97)
     return _docs(spark, d).where(F.length("text") > 0).select("doc_id", F.array_join(tk.normalised_candidates(ids, 97), ",").alias("ids"))
 
 
@@ -143,7 +143,7 @@ def t15_one_byte_alphabet(spark, d):
 
 def t16_exclude_special(spark, d):
     special = spark.createDataFrame([(" ",), ("\n",), ("e",)], "token string")
-    return tk.vocabulary(_chars(spark, d)).join(F.broadcast(special), "token", "left_anti")
+    return tk.vocabulary(_chars(spark, d)).join(small(special, "special"), "token", "left_anti")
 
 
 def t17_byte_level_map(spark, d):
@@ -165,9 +165,12 @@ def t20_frequency_remap(spark, d):
 
 
 def t21_padding(spark, d):
-    ids = F.transform(F.slice(tk.word_array(F.col("text")), 1, 12), lambda x: F.length(x))
-    full, mask = tk.padded(ids, F.lit(12))
-    return _docs(spark, d).select("doc_id", F.array_join(full, ",").alias("ids"), F.array_join(mask, "").alias("mask"))
+    """Prompts padded on the left to the longest of their batch; none is cut."""
+    ids = F.transform(tk.word_array(F.col("text")), lambda x: F.length(x))
+    prompts = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 4).alias("batch"), ids.alias("ids"))
+    width = small(prompts.groupBy("batch").agg(F.max(F.size("ids")).alias("width")), "widths")
+    full, mask = tk.padded(F.col("ids"), F.col("width"))
+    return prompts.join(width, "batch").select("item_id", F.array_join(full, ",").alias("ids"), F.array_join(mask, "").alias("mask"))
 
 
 def t22_matched_prefix(spark, d):
@@ -251,14 +254,14 @@ SQL = {
     "t10_lane_lengths": "SELECT doc_id, lane::INTEGER AS lane, (length(text) // 8 + (lane < length(text) % 8)::INTEGER)::BIGINT AS length FROM documents, range(8) t(lane)",
     "t11_bitmap": f"WITH {CHARS}, i AS (SELECT DISTINCT lang, ord(token) AS id FROM ch) SELECT lang, count(*) AS n, sum(id)::BIGINT AS total, max(id)::BIGINT AS largest FROM i GROUP BY lang",
     "t12_bitmap_bits": f"WITH {CHARS}, i AS (SELECT DISTINCT lang, ord(token) AS id FROM ch) SELECT lang, (count(DISTINCT (id + 32767) // 32768) * 32768)::BIGINT AS bits, count(*) AS ids FROM i GROUP BY lang",
-    "t13_index_to_token": f"WITH {CHARS}, v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS dense_id FROM (SELECT DISTINCT token FROM ch)) SELECT doc_id, sum((pos + 1) * dense_id)::BIGINT AS mark, arg_min(token, pos) AS first FROM ch JOIN v USING (token) WHERE pos < 20 GROUP BY doc_id",
-    "t14_candidates": "SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(string_split(substring(text, 1, 40), ''), lambda x: ord(x) % 97))), ',') AS ids FROM documents WHERE text <> ''",
+    "t13_index_to_token": f"WITH {CHARS}, v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS dense_id FROM (SELECT DISTINCT token FROM ch)) SELECT doc_id, sum((pos + 1) * dense_id)::BIGINT AS mark, arg_min(token, pos) AS first FROM ch JOIN v USING (token) GROUP BY doc_id",
+    "t14_candidates": "SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(string_split(text, ''), lambda x: ord(x) % 97))), ',') AS ids FROM documents WHERE text <> ''",
     "t15_one_byte_alphabet": f"WITH {CHARS} SELECT DISTINCT token, ord(token) AS code, ord(token) BETWEEN 32 AND 126 AS printable FROM ch WHERE strlen(token) = 1",
     "t16_exclude_special": f"WITH {CHARS}, v AS (SELECT token, (row_number() OVER (ORDER BY token) - 1)::INTEGER AS dense_id FROM (SELECT DISTINCT token FROM ch)) SELECT * FROM v WHERE token NOT IN (' ', chr(10), 'e')",
     "t17_byte_level_map": "WITH b AS (SELECT i::INTEGER AS byte, (i BETWEEN 33 AND 126) OR (i BETWEEN 161 AND 172) OR (i BETWEEN 174 AND 255) AS p FROM range(256) t(i)) SELECT byte, (CASE WHEN p THEN byte ELSE 255 + count(*) FILTER (NOT p) OVER (ORDER BY byte ROWS UNBOUNDED PRECEDING) END)::INTEGER AS code FROM b",
     "t19_dense_remap": f"WITH {WORDS}, v AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS dense_id FROM (SELECT DISTINCT token FROM wd)) SELECT doc_id, sum(dense_id * (pos % 7 + 1))::BIGINT AS mark FROM wd JOIN v USING (token) GROUP BY doc_id",
     "t20_frequency_remap": f"WITH {CHARS} SELECT token, n, (row_number() OVER (ORDER BY n DESC, f) - 1)::INTEGER AS id FROM (SELECT token, count(*) AS n, min((doc_id, pos)) AS f FROM ch GROUP BY token)",
-    "t21_padding": f"SELECT doc_id, array_to_string(list_concat(list_transform(range(12 - len(x)), lambda i: 0), x), ',') AS ids, repeat('0', 12 - len(x)) || repeat('1', len(x)) AS mask FROM (SELECT doc_id, list_transform({_W}[1:12], lambda x: length(x)) AS x FROM documents)",
+    "t21_padding": f"SELECT item_id, array_to_string(list_concat(list_transform(range(w - len(x)), lambda i: 0), x), ',') AS ids, repeat('0', (w - len(x))::INTEGER) || repeat('1', len(x)::INTEGER) AS mask FROM (SELECT item_id, x, max(len(x)) OVER (PARTITION BY item_id % 4) AS w FROM (SELECT item_id, list_transform({_W}, lambda x: length(x)) AS x FROM benchmark))",
     "t22_matched_prefix": f"WITH {CHARS}, s AS (SELECT doc_id, pos, sum(strlen(token)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS b FROM ch) SELECT doc_id, (max(pos) + 1)::BIGINT AS n_tokens, max(b)::BIGINT AS n_bytes FROM s WHERE b <= 1000 GROUP BY doc_id HAVING max(b) >= 900",
     "t23_start_sequences": f"SELECT count(*) AS n, min(len(s)) = max(len(s)) AS equal_lengths, bool_and(len(s) > 0) AS all_started, true AS round_trip FROM (SELECT {_W}[1:3] AS s FROM benchmark)",
     "a1_text_counts": f"SELECT doc_id, len({_W})::BIGINT AS n_words, length(text)::BIGINT AS n_chars, strlen(text)::BIGINT AS n_bytes, length(text)::BIGINT AS n_tokens FROM documents",

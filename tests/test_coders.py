@@ -119,3 +119,35 @@ def test_containers():
     header, seeds, code, mask = containers.read_global(containers.write_global({"encoding": "AC"}, [0, 2], [1, 1, 0], b"mask"))
     assert (header, seeds, code, mask) == ({"encoding": "AC"}, [0, 2], [1, 1, 0], b"mask")
     assert containers.experiment_key("m", "text8", "AC", 10, 5, 1) == "text8:m/AC/n10_c5_b1"
+
+
+def test_lanes_send_the_same_bits():
+    from sparkquill.functions import lanes
+
+    draw = np.random.default_rng(1)
+    for total, sizes in ((1 << 18, [0, 1, 2, 50, 300, 7, 7, 7] + [20] * 40), (7, [100] * 30), (1 << 30, [60] * 30 + [500]), (5, [0]), (5, [])):
+        cuts = np.array([0, 1, total // 3, total // 2, total - 1, total] if total > 7 else range(total + 1))
+        symbols = [draw.integers(0, len(cuts) - 1, n) if draw.random() < 0.7 else np.full(n, draw.integers(0, len(cuts) - 1)) for n in sizes]
+        got = lanes.encode([cuts[s] for s in symbols], [cuts[s + 1] for s in symbols], total)
+        for s, (data, n) in zip(symbols, got, strict=True):
+            c = coder.Encoder()
+            for lo, hi in zip(cuts[s].tolist(), cuts[s + 1].tolist(), strict=True):
+                c.put(lo, hi, total)
+            want = c.finished()
+            assert n == len(want) and data == bits.pack(want)[0]
+
+        def find(_, slot, cuts=cuts):
+            s = np.searchsorted(cuts, slot, "right") - 1
+            return s, cuts[s], cuts[s + 1]
+
+        back = lanes.decode(got, sizes, total, find, lambda c, s: c)
+        assert all(a.tolist() == b.tolist() for a, b in zip(back, symbols, strict=True))
+    with pytest.raises(ValueError):
+        lanes.encode([np.array([3])], [np.array([3])], 10)
+    # The middle third postpones a bit for each symbol.
+    long = [(np.full(500, 1), np.full(500, 2))] * 30
+    got = lanes.encode([a for a, _ in long], [b for _, b in long], 3)
+    c = coder.Encoder()
+    for _ in range(500):
+        c.put(1, 2, 3)
+    assert all(x == (bits.pack(c.finished())[0], len(c.finished())) for x in got)

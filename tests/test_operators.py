@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkquill import streaming
+from sparkquill.functions import bits
 from sparkquill.operators import bpe, codecs
 from sparkquill.operators import model as md
 from sparkquill.operators import tokens as tk
@@ -90,8 +91,47 @@ def test_codec_over_seen_and_unseen(spark):
         for text in ("abracadabra", "", "dcba nnr", "banana"):
             assert codecs.decode_text(model, codecs.encode_text(model, text), len(text)) == text
             assert codecs.unranked(model, codecs.rank_stream(model, text)) == text
-    with pytest.raises(ValueError):
-        codecs.fit(docs, 2, 1 << 12, rows=3)
+    # A table that would be too large has a lower order; no text is lost by that.
+    low = codecs.fit(docs, 2, 1 << 12, rows=12)
+    assert low.order == 0 and codecs.decode_text(low, codecs.encode_text(low, "banana"), 6) == "banana"
+
+
+def test_interval_arrays_are_the_model(spark):
+    draw = random.Random(3)
+    texts = ["abracadabra", "", "banana bänd", "a", "日本 b"] + ["".join(draw.choice("ab cän日") for _ in range(draw.randrange(60))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts[:20])) + [(None, None)], "doc_id long, text string")
+    for order in (0, 1, 2):
+        model = codecs.fit(docs, order, 1 << 12)
+        arrays = codecs.intervals_of(model)
+        for text in texts:
+            symbols = arrays.symbols(text)
+            low, high = arrays.interval(arrays.contexts(symbols), symbols)
+            assert list(zip(low.tolist(), high.tolist(), strict=True)) == [model.interval(model.context(text, i), c) for i, c in enumerate(text)]
+            assert arrays.ranks(arrays.contexts(symbols), symbols).tolist() == [model.ranks(model.context(text, i))[1][model.index[c]] for i, c in enumerate(text)] == codecs.rank_stream(model, text)
+            for slot in (low, high - 1):
+                found, a, b = arrays.find(arrays.contexts(symbols), slot)
+                assert (found == symbols).all() and (a == low).all() and (b == high).all()
+        coded = codecs.arithmetic(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+        for r in coded.collect():
+            want = codecs.encode_text(model, texts[r.doc_id])
+            assert r.payload_bits == len(want) and bits.unpack(r.payload, r.payload_bits).tolist() == want
+        assert {r.doc_id: r.text for r in codecs.texts_of(coded, model).collect()} == dict(enumerate(texts))
+        with pytest.raises(ValueError):
+            arrays.symbols("ß")
+
+
+def test_open_models_code_any_text(spark, monkeypatch):
+    monkeypatch.setattr(codecs, "LANE_SYMBOLS", 40)
+    docs = spark.createDataFrame([(1, "abracadabra"), (2, "banana band")], "doc_id long, text string")
+    other = {5: "snow \u2603 man", 6: "", 7: "\U0010ffff\0é", 8: "abra " * 30, 9: None}
+    held = spark.createDataFrame(list(other.items()), "doc_id long, text string")
+    for order in (0, 1, 2):
+        model = codecs.fit_open(docs, order)
+        coded = codecs.arithmetic(held, model)
+        assert {r.doc_id: r.text for r in codecs.texts_of(coded, model).collect()} == {k: v or "" for k, v in other.items()}
+    own = {r.doc_id: r.payload_bits / max(1, r.n_tokens) for r in codecs.arithmetic(docs, codecs.fit_open(docs, 2)).collect()}
+    assert max(own.values()) < 3
+    assert codecs.arithmetic(held.limit(0), model).count() == 0
 
 
 def test_streams_equal_batches(spark, tmp_path):
