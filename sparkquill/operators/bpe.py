@@ -1,23 +1,51 @@
-"""Byte-pair encoding: merges learned from word counts, applied to distinct words.
+"""Byte-level byte-pair encoding: merges learned from word counts, applied to distinct words.
 
-Learning touches the corpus once, to count words; each merge then is an aggregation over the table of
-distinct words, whose lineage is cut by a written table every few merges. Ties go to the pair that
-sorts first.
+Words are strings of letters that stand for their UTF-8 bytes (printing bytes for themselves, the others from
+256 on), so the alphabet has 256 letters and no text is unknown. Learning touches the corpus once, to count
+words. A table of at most ``WORDS`` distinct words goes to the driver, where pair counts are kept up to date
+merge by merge; beyond that each merge is an aggregation over the table, whose lineage is cut by a written
+table every few merges. Both give the same merges: ties go to the pair that sorts first.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.operators.tokens import characters, word_array
-from sparkquill.session import stored
-
+from sparkquill.operators.tokens import byte_array, word_array
+from sparkquill.session import discard, stored
 
+#: Distinct words that the driver may hold.
+WORDS = 2_000_000
+#: Tokens beside the bytes and merges of a vocabulary.
+SPECIAL = ("[UNK]",)
 _OPEN, _CLOSE = "\x02", "\x03"
 
 
+def _letters() -> list[str]:
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(prints)]
+    return [chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)]
+
+
+LETTERS = _letters()
+
+
+def lettered(word: str) -> str:
+    """A word as letters of its bytes."""
+    return "".join([LETTERS[b] for b in word.encode()])
+
+
+def unlettered(pieces: list[str]) -> str:
+    """The text of pieces."""
+    back = {x: b for b, x in enumerate(LETTERS)}
+    return bytes(back[x] for p in pieces for x in p).decode()
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all documents; each word but a document's first begins with a space."""
     words = word_array(F.col(text))
@@ -25,13 +53,57 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(marked).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def learn(docs: DataFrame, merges: int, least: int = 2, keep_every: int = 8) -> list[tuple[str, str]]:
-    """The merges in order; ends early when no pair occurs ``least`` times."""
-    # A word is its parts, each between two signs that no word has: merging is one string replacement.
-    clean = word_counts(docs).where(~F.col("word").rlike(f"[{_OPEN}{_CLOSE}]"))
-    parts = F.array_join(F.transform(characters(F.col("word")), lambda x: F.concat(F.lit(_OPEN), x, F.lit(_CLOSE))), "")
-    words = stored(clean.select("n", parts.alias("parts")), "bpe")
+def _learn_here(counted: dict[str, int], merges: int, least: int) -> list[tuple[str, str]]:
+    words, numbers = [list(lettered(w)) for w in counted], list(counted.values())
+    pairs: dict[tuple[str, str], int] = defaultdict(int)
+    where: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for k, (w, n) in enumerate(zip(words, numbers, strict=True)):
+        for pair in zip(w, w[1:], strict=False):
+            pairs[pair] += n
+            where[pair].add(k)
+    heap = [(-n, *pair) for pair, n in pairs.items() if n >= least]
+    heapq.heapify(heap)
     found: list[tuple[str, str]] = []
+    while heap and len(found) < merges:
+        n, a, b = heapq.heappop(heap)
+        if pairs.get((a, b), 0) != -n:
+            continue  # an older count; the present one was pushed when it changed
+        found.append((a, b))
+        changed: dict[tuple[str, str], int] = defaultdict(int)
+        for k in where.pop((a, b)):
+            w, times = words[k], numbers[k]
+            new, i = [], 0
+            while i < len(w):
+                if w[i] == a and i + 1 < len(w) and w[i + 1] == b:
+                    new.append(a + b)
+                    i += 2
+                else:
+                    new.append(w[i])
+                    i += 1
+            for pair in zip(w, w[1:], strict=False):
+                changed[pair] -= times
+            for pair in zip(new, new[1:], strict=False):
+                changed[pair] += times
+                where[pair].add(k)
+            words[k] = new
+        for pair, d in changed.items():
+            if d:
+                pairs[pair] += d
+                if pairs[pair] >= least:
+                    heapq.heappush(heap, (-pairs[pair], *pair))
+        pairs.pop((a, b), None)
+    return found
+
+
+def _parts(word: Column) -> Column:
+    """A word's letters, each between two signs that no letter is: merging is one string replacement."""
+    named = F.array(*(F.lit(_OPEN + x + _CLOSE) for x in LETTERS))
+    return F.array_join(F.transform(byte_array(word), lambda b: F.get(named, b)), "")
+
+
+def _learn_apart(counted: DataFrame, merges: int, least: int, keep_every: int) -> list[tuple[str, str]]:
+    words = stored(counted.select("n", _parts(F.col("word")).alias("parts")), "bpe")
+    kept, found = words, []
     for k in range(merges):
         split = F.split(F.expr("substring(parts, 2, length(parts) - 2)"), f"{_CLOSE}{_OPEN}")
         pairs = words.select("n", split.alias("p")).where(F.size("p") > 1).select("n", F.explode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b"))).alias("p"))
@@ -43,36 +115,54 @@ def learn(docs: DataFrame, merges: int, least: int = 2, keep_every: int = 8) ->
         words = words.withColumn("parts", F.replace("parts", F.lit(f"{_OPEN}{a}{_CLOSE}{_OPEN}{b}{_CLOSE}"), F.lit(f"{_OPEN}{a}{b}{_CLOSE}")))
         if k % keep_every == keep_every - 1:
             words = stored(words, "bpe")
+            discard(kept)
+            kept = words
     return found
 
 
+def learn(docs: DataFrame, vocabulary: int = 32_000, least: int = 2, words: int = WORDS, keep_every: int = 8) -> list[tuple[str, str]]:
+    """The merges of a vocabulary, in order; they end early when no pair occurs ``least`` times."""
+    merges = vocabulary - len(LETTERS) - len(SPECIAL)
+    if merges < 0:
+        raise ValueError("a vocabulary holds the bytes and the special tokens at least")
+    counted = stored(word_counts(docs), "bpe-words")
+    if counted.count() > words:
+        return _learn_apart(counted, merges, least, keep_every)
+    got = counted.toArrow()  # `words` rows at most
+    return _learn_here(dict(sorted(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True))), merges, least)
+
+
 def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merge the earliest learned pair until none is left."""
-    parts = list(word)
-    while len(parts) > 1:
-        rank, at = min((ranks.get(pair, len(ranks)), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == len(ranks):
-            break
-        a, b = parts[at], parts[at + 1]
-        out, i = [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                out.append(a + b)
-                i += 2
-            else:
-                out.append(parts[i])
-                i += 1
-        parts = out
-    return parts
+    """Merge the earliest learned pair until none is left; long words take no longer by letter than short ones."""
+    parts: list[str | None] = list(lettered(word))
+    after = list(range(1, len(parts) + 1))
+    before = list(range(-1, len(parts) - 1))
+    heap = [(ranks[pair], i, *pair) for i, pair in enumerate(zip(parts, parts[1:], strict=False)) if pair in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = after[i] if parts[i] is not None else len(parts)
+        if parts[i] != a or j >= len(parts) or parts[j] != b:
+            continue
+        parts[i], parts[j] = a + b, None
+        after[i] = after[j]
+        if after[j] < len(parts):
+            before[after[j]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y < len(parts) and (pair := (parts[x], parts[y])) in ranks:
+                heapq.heappush(heap, (ranks[pair], x, *pair))
+    return [x for x in parts if x is not None]
 
 
 def encode(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     """(word, pieces) of distinct words; the merges are a bounded list."""
     ranks = {pair: i for i, pair in enumerate(merges)}
+    sent = words.sparkSession.sparkContext.broadcast(ranks)
 
     def apply(batches):
+        own = sent.value
         for batch in batches:
-            pieces = [encode_word(w, ranks) for w in batch.column(0).to_pylist()]
+            pieces = [encode_word(w, own) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.list_(pa.string()))], ["word", "pieces"])
 
     return words.select("word").mapInArrow(apply, "word string, pieces array<string>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.operators import bpe
 from sparkquill.operators import tokens as tk
-from sparkquill.session import small, table
+from sparkquill.session import small, stored, table
 
 CHARS = "ch AS (SELECT doc_id, lang, source, unnest(string_split(text, '')) AS token, unnest(range(len(string_split(text, '')))) AS pos FROM documents)"
 WORDS = r"wd AS (SELECT doc_id, lang, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, lang, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents))"
@@ -73,16 +73,19 @@ def t3_byte_baseline(spark, d):
 
 
 def t4_bpe_merges(spark, d):
-    merges = bpe.learn(_docs(spark, d), 12)
+    """Byte-level merges of a vocabulary of 32,000: 256 bytes, one special token, merges of two occurrences at least."""
+    merges = bpe.learn(_docs(spark, d))
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, a string, b string")
 
 
 def t5_bpe_fertility(spark, d):
     docs = _docs(spark, d)
-    merges = bpe.learn(docs, 12)
-    words = bpe.word_counts(docs)
+    merges = bpe.learn(docs)
+    words = stored(bpe.word_counts(docs), "words")
     pieces = bpe.encode(words, merges).join(words, "word")
-    return pieces.agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.size("pieces")).alias("n_pieces"), F.sum(F.col("n") * F.length("word")).alias("n_chars"), F.bool_and(F.array_join("pieces", "") == F.col("word")).alias("round_trip"))
+    letters = F.array(*(F.lit(x) for x in bpe.LETTERS))
+    whole = F.array_join(F.transform(tk.byte_array(F.col("word")), lambda b: F.get(letters, b)), "")
+    return pieces.agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.size("pieces")).alias("n_pieces"), F.sum(F.col("n") * F.length("word")).alias("n_chars"), F.sum(F.col("n") * F.octet_length("word")).alias("n_bytes"), F.bool_and(F.array_join("pieces", "") == whole).alias("round_trip"))
 
 
 def t6_decode_round_trip(spark, d):

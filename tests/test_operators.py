@@ -46,21 +46,23 @@ def test_bitmap_round_trip(spark):
 
 
 def test_bpe_against_a_plain_trainer(spark):
-    draw = random.Random(1)
-    docs = [" ".join("".join(draw.choice("abc") for _ in range(draw.randint(1, 6))) for _ in range(40)) for _ in range(20)]
-    got = bpe.learn(spark.createDataFrame([(x,) for x in docs], "text string"), 10, keep_every=3)
+    draw = random.Random(2)
+    docs = [" ".join("".join(draw.choice("abcé") for _ in range(draw.randint(1, 6))) for _ in range(30)) for _ in range(20)] + ["aaaa aaaaa", "", "\x02\x03 \x02\x03"]
+    table = spark.createDataFrame([(x,) for x in docs], "text string")
     words = {}
-    for doc in docs:
-        for i, w in enumerate(doc.split()):
-            key = tuple((" " if i else "") + w)
+    for x in docs:
+        for i, w in enumerate(x.split()):
+            key = tuple(bpe.lettered(" " * (i > 0) + w))
             words[key] = words.get(key, 0) + 1
     merges = []
-    for _ in range(10):
+    for _ in range(30):
         pairs = {}
         for w, n in words.items():
             for p in zip(w, w[1:], strict=False):
                 pairs[p] = pairs.get(p, 0) + n
-        best = min(pairs, key=lambda p: (-pairs[p], p))
+        best = min((p for p in pairs if pairs[p] >= 2), key=lambda p: (-pairs[p], p), default=None)
+        if best is None:
+            break
         merges.append(best)
         new = {}
         for w, n in words.items():
@@ -74,9 +76,16 @@ def test_bpe_against_a_plain_trainer(spark):
                     i += 1
             new[tuple(out)] = new.get(tuple(out), 0) + n
         words = new
-    assert got == merges
+    size = 257 + 30
+    assert bpe.learn(table, size) == merges
+    assert bpe.learn(table, 257 + 10, words=5, keep_every=3) == merges[:10]  # over the bound, by aggregation
+    with pytest.raises(ValueError):
+        bpe.learn(table, 200)
     ranks = {p: i for i, p in enumerate(merges)}
-    assert all("".join(bpe.encode_word("".join(w), ranks)) == "".join(w) and tuple(bpe.encode_word("".join(w), ranks)) == w for w in words)
+    for w in words:
+        text = bpe.unlettered(list(w))
+        assert tuple(bpe.encode_word(text, ranks)) == w and bpe.unlettered(bpe.encode_word(text, ranks)) == text
+    assert bpe.encode_word("", ranks) == [] and len(bpe.encode_word("ab" * 50_000, ranks)) < 100_000
 
 
 def test_codec_over_seen_and_unseen(spark):
