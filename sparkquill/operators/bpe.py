@@ -33,6 +33,7 @@ def _letters() -> list[str]:
 
 
 LETTERS = _letters()
+_BYTES = {x: b for b, x in enumerate(LETTERS)}
 
 
 def lettered(word: str) -> str:
@@ -42,8 +43,7 @@ def lettered(word: str) -> str:
 
 def unlettered(pieces: list[str]) -> str:
     """The text of pieces."""
-    back = {x: b for b, x in enumerate(LETTERS)}
-    return bytes(back[x] for p in pieces for x in p).decode()
+    return bytes([_BYTES[x] for p in pieces for x in p]).decode()
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -166,3 +166,62 @@ def encode(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.list_(pa.string()))], ["word", "pieces"])
 
     return words.select("word").mapInArrow(apply, "word string, pieces array<string>")
+
+
+def canonical_words(text: str, pieces: list[str], ranks: dict[tuple[str, str], int], known: dict[str, list[str]]) -> bool | None:
+    """Whether pieces are those of their text, by its words alone; None where pieces do not keep to words.
+
+    Encoding never joins words, so pieces that end where words end are canonical if each word's are.
+    """
+    at, taken = 0, []
+    for k, w in enumerate(text.split()):
+        whole = lettered(" " * (k > 0) + w)
+        own: list[str] = []
+        while at < len(pieces) and sum(map(len, own)) < len(whole):
+            own.append(pieces[at])
+            at += 1
+        if "".join(own) != whole:
+            return None
+        taken.append((" " * (k > 0) + w, own))
+    for w, own in taken:
+        if w not in known:
+            known[w] = encode_word(w, ranks)
+        if known[w] != own:
+            return False
+    return at == len(pieces)
+
+
+def encode_text(text: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+    return [p for k, w in enumerate(text.split()) for p in encode_word(" " * (k > 0) + w, ranks)]
+
+
+def round_trips(docs: DataFrame, key: str, merges: list[tuple[str, str]]) -> DataFrame:
+    """(key, n_pieces, local, whole, changed_local, changed_whole): the word-wise check of a text's pieces and the full one.
+
+    ``changed`` is of the pieces with the first that can be cut in two; a word-wise check that cannot tell falls
+    back to the full one.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast({pair: i for i, pair in enumerate(merges)})
+
+    def run(batches):
+        ranks, known = sent.value, {}
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = text or ""
+                pieces = encode_text(text, ranks)
+                cut = next((i for i, p in enumerate(pieces) if len(p) > 1), None)
+                changed = pieces if cut is None else [*pieces[:cut], pieces[cut][0], pieces[cut][1:], *pieces[cut + 1 :]]
+                row = [name, len(pieces)]
+                for some in (pieces, changed):
+                    full = some == encode_text(unlettered(some), ranks) if some else True
+                    local = canonical_words(unlettered(some) if some else "", some, ranks, known)
+                    row += [full if local is None else local, full]
+                rows.append(row)
+                if len(known) > 200_000:
+                    known.clear()
+            cols = zip(*rows, strict=True) if rows else [[]] * 6
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [key, "n_pieces", "local", "whole", "changed_local", "changed_whole"])
+
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_pieces long, local boolean, whole boolean, changed_local boolean, changed_whole boolean")

@@ -433,24 +433,122 @@ def coded(docs: DataFrame, model: CharModel, encoding: str) -> DataFrame:
     return ENCODINGS[encoding](docs, model)
 
 
-def containers_of(docs: DataFrame, model: CharModel) -> DataFrame:
-    """Per document its stream containers' sizes, and what reading them gives back."""
-
-    def one(doc_id, text):
-        data = text.encode()
-        code = encode_text(model, text[1:]) if len(text) > 1 else [1]
-        seed = model.index[text[0]]
-        stream = containers.write_stream(code, data, [seed], len(text), sorted({model.index[c] for c in text}))
-        ids = [model.index[c] for c in text]
-        packed = containers.write_ids(ids, len(model.alphabet), len(data))
-        short = containers.write_predictive(code, seed, 1, len(text), len(data))
-        meta, back = containers.read_stream(stream)
-        whole = text[0] + decode_text(model, back, len(text) - 1)
-        again, raw = containers.read_ids(packed)
-        ok = containers.verify(meta, whole.encode()) and again == ids and raw == len(data) and containers.read_predictive(short)["bits"] == code
-        return {"doc_id": doc_id, "sha256": hashlib.sha256(whole.encode()).hexdigest(), "id_stream_bytes": len(packed), "frame_bytes": len(short) - -(-len(code) // 8), "verified": ok, "stream_bytes": len(stream)}
-
-    return _mapped(docs.where(F.length("text") > 0), ["doc_id", "text"], "doc_id long, sha256 string, id_stream_bytes long, frame_bytes long, verified boolean, stream_bytes long", one)
+def containers_of(docs: DataFrame, model: CharModel, name: str = "characters") -> DataFrame:
+    """Per document of two characters at least its stream containers' sizes, and what reading them gives back.
+
+    Streams are encoded, put into containers, parsed, decoded and compared by length and digest.
+    """
+    sent = _sent(docs, model)
+
+    def run(batches):
+        own = sent.value
+        for batch in batches:
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in _runs([len(x) for x in texts]):
+                data = [texts[i].encode() for i in part]
+                symbols = [own.symbols(texts[i]) for i in part]
+                spans = [own.interval(own.contexts(x)[1:], x[1:]) for x in symbols]
+                codes = lanes.encode([a for a, _ in spans], [b for _, b in spans], own.total)
+                streams = [containers.write_stream(*code, d, name, [int(x[0])], len(x), np.unique(x).tolist(), frequency_total=own.total) for code, d, x in zip(codes, data, symbols, strict=True)]
+                parsed = [containers.read_stream(x) for x in streams]
+                seeds = [m["seed_token_ids"][0] for m, _, _ in parsed]
+                begin = own.following(np.zeros(len(seeds), np.int64), np.array(seeds, np.int64)).tolist()
+                backs = lanes.decode([(p, n) for _, p, n in parsed], [m["token_count"] - 1 for m, _, _ in parsed], own.total, own.find, own.following, begin)
+                rows = []
+                for i, d, x, code, stream, (meta, _, _), seed, back in zip(part, data, symbols, codes, streams, parsed, seeds, backs, strict=True):
+                    whole = own.text(np.concatenate(([seed], back)))
+                    packed = containers.write_ids(x, own.size, len(d))
+                    again, raw = containers.read_ids(packed)
+                    short = containers.write_predictive(*code, seed, 1, len(x), len(d))
+                    predicted = containers.read_predictive(short)
+                    ok = containers.verify(meta, whole.encode()) and again == x.tolist() and raw == len(d) and (predicted["payload"], predicted["payload_bits"]) == code
+                    rows.append({"doc_id": doc_ids[i], "sha256": hashlib.sha256(whole.encode()).hexdigest(), "n_tokens": len(x), "id_stream_bytes": len(packed), "frame_bytes": len(short) - len(code[0]), "verified": ok, "stream_bytes": len(stream)})
+                yield pa.RecordBatch.from_pylist(rows, schema=_CONTAINER_ARROW)
+
+    return spread(docs.where(F.length("text") > 1).select("doc_id", "text")).mapInArrow(run, "doc_id long, sha256 string, n_tokens long, id_stream_bytes long, frame_bytes long, verified boolean, stream_bytes long")
+
+
+_CONTAINER_ARROW = pa.schema([("doc_id", pa.int64()), ("sha256", pa.string()), ("n_tokens", pa.int64()), ("id_stream_bytes", pa.int64()), ("frame_bytes", pa.int64()), ("verified", pa.bool_()), ("stream_bytes", pa.int64())])
+
+#: Lanes of a global file.
+FILE_LANES = 4
+
+
+def _layout(n: int, number: int) -> np.ndarray:
+    """The positions of a stream's tokens, step by step over its contiguous lanes; the first ones are the seeds."""
+    sizes = n // number + (np.arange(number) < n % number)
+    starts = np.cumsum(sizes) - sizes
+    step = np.arange(sizes.max(initial=0))[:, None]
+    return (starts + step)[step < sizes]
+
+
+def global_files(docs: DataFrame, model: CharModel) -> DataFrame:
+    """(doc_id, content): each text as one file: header, a seed for each lane, one code for all lanes, vocabulary bitmap."""
+    sent = _sent(docs, model)
+
+    def run(batches):
+        own = sent.value
+        for batch in batches:
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            for part in _runs([len(x) for x in texts]):
+                out, heads, lows, highs = [], [], [], []
+                for i in part:
+                    x = own.symbols(texts[i])
+                    number = min(FILE_LANES, len(x))
+                    at = _layout(len(x), number)
+                    coded, former = x[at[number:]], x[at[number:] - 1]
+                    low, high = own.interval(own.following(np.zeros(len(former), np.int64), former), coded)
+                    mask = np.zeros(-(-own.size // 8) * 8, np.uint8)
+                    mask[x] = 1
+                    heads.append(({"tokens": len(x), "total": own.total}, x[at[:number]].tolist(), np.packbits(mask).tobytes()))
+                    lows.append(low)
+                    highs.append(high)
+                for (head, seeds, mask), code in zip(heads, lanes.encode(lows, highs, own.total), strict=True):
+                    out.append(containers.write_global(head, seeds, *code, mask))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.start, len(part)), pa.array(out, pa.binary())], ["doc_id", "content"])
+
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, content binary")
+
+
+def global_texts(files: DataFrame, model: CharModel) -> DataFrame:
+    """(doc_id, text, n_used): what global files hold; n_used counts the bitmap's tokens."""
+    sent = _sent(files, model)
+
+    def run(batches):
+        own = sent.value
+        for batch in batches:
+            read = [containers.read_global(x) for x in batch.column("content").to_pylist()]
+            sizes = [head["tokens"] for head, *_ in read]
+            for part in _runs(sizes):
+                mine = [read[i] for i in part]
+                counts = np.array([sizes[i] - len(mine[k][1]) for k, i in enumerate(part)], np.int64)
+                order = np.argsort(-counts, kind="stable")
+                # The last context of each lane; all streams are at the same step and so in the same lane.
+                last = np.zeros((len(mine), FILE_LANES), np.int64)
+                for row, k in enumerate(order.tolist()):
+                    seeds = np.array(mine[k][1], np.int64)
+                    last[row, : len(seeds)] = own.following(np.zeros(len(seeds), np.int64), seeds)
+                step = 0
+
+                def find(context, slot, last=last):
+                    return own.find(last[: len(context), step % FILE_LANES], slot)
+
+                def after(context, symbol, last=last):
+                    nonlocal step
+                    last[: len(context), step % FILE_LANES] = own.following(np.zeros(len(symbol), np.int64), symbol)
+                    step += 1
+                    return context
+
+                backs = lanes.decode([(p, n) for _, _, p, n, _ in mine], counts.tolist(), own.total, find, after)
+                texts, used = [], []
+                for i, (_, seeds, _, _, mask), back in zip(part, mine, backs, strict=True):
+                    x = np.empty(sizes[i], np.int64)
+                    x[_layout(sizes[i], len(seeds))] = np.concatenate((np.array(seeds, np.int64), back))
+                    texts.append(own.text(x))
+                    used.append(int(np.unpackbits(np.frombuffer(mask, np.uint8)).sum()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.start, len(part)), pa.array(texts, pa.string()), pa.array(used, pa.int64())], ["doc_id", "text", "n_used"])
+
+    return files.select("doc_id", "content").mapInArrow(run, "doc_id long, text string, n_used long")
 
 
 def _zip(data: bytes) -> bytes:
@@ -482,6 +580,12 @@ def general_codecs() -> dict:
     }
 
 
+def speeds(measured: DataFrame, *keys: str) -> DataFrame:
+    """(keys, raw, ratio, kb_s, back_kb_s, exact) of measured compressors: sizes by size, kilobytes of 1,024 by second."""
+    out = measured.groupBy(*keys).agg(F.sum("raw").alias("raw"), F.sum("compressed").alias("compressed"), F.sum("compress_s").alias("s"), F.sum("decompress_s").alias("back"), F.bool_and("exact").alias("exact"))
+    return out.select(*keys, "raw", F.try_divide("compressed", "raw").alias("ratio"), F.try_divide(F.col("raw") / 1024, "s").alias("kb_s"), F.try_divide(F.col("raw") / 1024, "back").alias("back_kb_s"), "exact")
+
+
 def byte_codecs(docs: DataFrame) -> DataFrame:
     """(doc_id, codec, raw, compressed, exact, compress_s, decompress_s): general-purpose compressors on the same bytes."""
 

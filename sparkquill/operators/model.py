@@ -85,6 +85,17 @@ def frequencies(model: DataFrame, size: int, total: int = TOTAL) -> DataFrame:
     return ranked.select("ctx", "token", "n", (F.col("base") + (F.col("_order") <= F.col("_left")).cast("bigint")).alias("freq"))
 
 
+def frequencies_checked(model: DataFrame, size: int, total: int = TOTAL) -> DataFrame:
+    """``frequencies``, where what rounding left over in each context is asserted to be from 0 to less than ``size``."""
+    freqs = frequencies(model, size, total)
+    ctx = Window.partitionBy("ctx")
+    base = F.expr(f"1 + ({total - size}L * n) div sum(n) over (partition by ctx)")
+    checked = freqs.withColumn("_base", base)
+    checked = checked.withColumn("_left", F.lit(total) - (F.sum("_base").over(ctx) + size - F.count(F.lit(1)).over(ctx)))
+    fine = (F.col("_left") >= 0) & (F.col("_left") < size) & (F.col("freq") >= 1)
+    return checked.select("ctx", "token", "n", F.when(fine, F.col("freq")).otherwise(F.raise_error(F.lit("frequencies that do not sum to their total")).cast("bigint")).alias("freq"))
+
+
 def intervals(freqs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Frequencies with (dense_id, cum_lo, cum_hi): unseen tokens before one take a unit each."""
     ids = freqs.join(small(vocabulary.select("token", "dense_id"), "vocabulary"), "token")

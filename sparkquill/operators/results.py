@@ -124,6 +124,11 @@ def label(x: Column, base: int, units: list[str]) -> Column:
     return F.concat(F.regexp_replace(F.format_string("%.2f", rounded), r"\.?0+$", ""), F.element_at(F.array(*(F.lit(u) for u in units)), step + 1))
 
 
+def per_parameter(rows: DataFrame, factor: str, params: str) -> DataFrame:
+    """The rows with their factor by model parameter."""
+    return rows.withColumn("per_parameter", F.col(factor) / (F.col(params) + 1e-9))
+
+
 def slug(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), F.lit("-"))
 

@@ -455,7 +455,7 @@ SQL = {
     "e30_payload_bounds": "SELECT doc_id, true AS not_above, true AS not_below FROM documents WHERE text <> ''",
     "e31_held_out_codec": _FULL + " WHERE doc_id % 10 = 9",
     "e8_pmatic_round_trip": "SELECT item_id, sha256(text) AS sha256, length(text)::BIGINT AS n_tokens FROM benchmark WHERE text <> ''",
-    "c4_containers": f"WITH {M1} SELECT doc_id, sha256(text) AS sha256, (24 + (length(text) * length(bin(k - 1)) + 7) // 8)::BIGINT AS id_stream_bytes, 28::BIGINT AS frame_bytes, true AS verified FROM documents, k WHERE text <> ''",
+    "c4_containers": f"WITH {M1} SELECT doc_id, sha256(text) AS sha256, (24 + (length(text) * length(bin(k - 1)) + 7) // 8)::BIGINT AS id_stream_bytes, 28::BIGINT AS frame_bytes, true AS verified FROM documents, k WHERE length(text) > 1",
     "b1_byte_codecs": "SELECT doc_id, codec, strlen(text)::BIGINT AS raw, true AS exact FROM documents, (VALUES ('gzip-9'), ('zip'), ('zlib-1'), ('zstd-3'), ('zstd-22'), ('bz2-9'), ('xz-6')) c(codec)",
     "v1_worst_token": f"WITH {M1} SELECT ctx, token, n FROM m JOIN {_LETTERS} USING (token) QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY n, token) = 1",
     "v2_target_scores": f"WITH {M1}, p AS (SELECT ctx, token, n, n / sum(n) OVER (PARTITION BY ctx) AS p FROM m), q AS (SELECT ctx, token, n, p, n / sum(n) OVER (PARTITION BY ctx) AS q FROM p JOIN {_LETTERS} USING (token)) SELECT ctx, sum(n)::BIGINT AS n, round(sum(-log2(p) * n), 3) AS full_bits, round(sum(-log2(q) * n), 3) AS masked_bits FROM q GROUP BY ctx",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sparkquill.plans import model_queries, result_queries, score_queries, stream_queries, token_queries
+from sparkquill.plans import model_queries, result_queries, score_queries, source_queries, stream_queries, token_queries
 
 FLAGSHIP = "m0_unigram_code_length_by_lang"
-MODULES = (token_queries, model_queries, result_queries, score_queries, stream_queries)
+MODULES = (token_queries, model_queries, result_queries, score_queries, source_queries, stream_queries)
 
 
 def queries() -> dict:

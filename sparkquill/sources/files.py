@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import io
 import tarfile
+import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN_FIELDS = "model string, encoding string, batch_size int, context_length int, retain_tokens int, first_n_tokens bigint, lora_path string"
@@ -30,6 +33,30 @@ def inline(spark: SparkSession, text: str | None = None, path: str | None = None
 
 def tar_texts(spark: SparkSession, path: str, first_only: bool = False) -> DataFrame:
     """(path, text): the archive's files joined by line ends, or the first; an archive without files is an error."""
+    return tar_members(spark.read.format("binaryFile").load(path).select("path", "content"), first_only)
+
+
+def tar_bytes(rows: DataFrame, key: str, members: str) -> DataFrame:
+    """(path, content): an archive for each row, of an array of texts as its files."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for texts in batch.column(1).to_pylist():
+                data = io.BytesIO()
+                with tarfile.open(fileobj=data, mode="w") as tar:
+                    for k, text in enumerate(texts or []):
+                        info = tarfile.TarInfo(f"{k:06d}")
+                        info.size = len(text.encode())
+                        tar.addfile(info, io.BytesIO(text.encode()))
+                out.append(data.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["path", "content"])
+
+    return rows.select(F.col(key).cast("string").alias("path"), members).mapInArrow(run, "path string, content binary")
+
+
+def tar_members(archives: DataFrame, first_only: bool = False) -> DataFrame:
+    """(path, text) of archives (path, content), as ``tar_texts`` reads them."""
 
     def members(batches):
         for batch in batches:
@@ -42,7 +69,7 @@ def tar_texts(spark: SparkSession, path: str, first_only: bool = False) -> DataF
                 out.append(parts[0] if first_only else "\n".join(parts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["path", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(members, "path string, text string")
+    return archives.select("path", "content").mapInArrow(members, "path string, text string")
 
 
 def region(spark: SparkSession, path: str, offset: int, length: int) -> DataFrame:
@@ -73,13 +100,20 @@ def model_list(spark: SparkSession, path: str) -> DataFrame:
 
 def results(spark: SparkSession, path: str) -> DataFrame:
     """(run_key, result) of a JSON map of experiment results; no rows if there is no file."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+    target, files = _files(spark, path)
+    if not files.exists(target):
         return spark.createDataFrame([], f"run_key string, result {RESULT}")
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, {RESULT}>")).alias("run_key", "result"))
 
 
+def run(spark: SparkSession, path: str, schema) -> DataFrame:
+    """(run, columns) of a run directory's ``results.json`` beside the directory's name; no rows if it is not there."""
+    target, files = _files(spark, f"{path}/results.json")
+    if not files.exists(target):
+        return spark.createDataFrame([], schema).select(F.lit(None).cast("string").alias("run"), "*")
+    return spark.read.schema(schema).json(f"{path}/results.json").select(F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("run"), "*")
+
+
 def sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A reference sheet; ragged rows keep what they have, the rest is null."""
     return spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE")
@@ -99,11 +133,12 @@ def write_ids16(df: DataFrame, key: str, ids: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for x in batch.column(1).to_pylist():
-                if x and (min(x) < 0 or max(x) >= 1 << 16):
-                    raise ValueError("an id does not fit in 16 bits")
-                out.append(b"".join(i.to_bytes(2, "little") for i in x))
+            column = batch.column(1).fill_null(pa.scalar([], batch.column(1).type))
+            flat, ends = column.flatten().to_numpy(False), np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy(False)))).astype(np.int64)
+            if flat.size and (flat.min() < 0 or flat.max() >= 1 << 16):
+                raise ValueError("an id does not fit in 16 bits")
+            data = flat.astype("<u2").tobytes()
+            out = [data[2 * a : 2 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [key, "data"])
 
     return df.select(key, ids).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, data binary")
@@ -114,6 +149,50 @@ def upsert(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def replace(df: DataFrame, path: str, form: str = "parquet", **options: str) -> None:
+    """Write a table beside its place and then rename it there: readers meet the old one or the new one, whole."""
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    df.write.format(form).options(**options).save(fresh)
+    new, files = _files(df.sparkSession, fresh)
+    target, _ = _files(df.sparkSession, path)
+    old, _ = _files(df.sparkSession, f"{fresh}.old")
+    if files.exists(target):
+        files.rename(target, old)
+    files.rename(new, target)
+    files.delete(old, True)
+
+
+def upsert_rows(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Put rows into a stored table: rows with their keys are replaced, all others stay; a table that is not there is made."""
+    target, files = _files(df.sparkSession, path)
+    if files.exists(target):
+        before = df.sparkSession.read.parquet(path)
+        df = before.join(df.select(*keys).distinct(), keys, "left_anti").unionByName(df)
+    replace(df, path)
+
+
+def export(df: DataFrame, path: str, form: str) -> None:
+    """A table as CSV with a header, or as JSON lines."""
+    if form not in ("csv", "json"):
+        raise ValueError("a table is exported as csv or json")
+    replace(df, path, form, **({"header": "true", "escape": '"'} if form == "csv" else {"ignoreNullFields": "false"}))
+
+
+def run_directory(root: Column, at: Column) -> Column:
+    """Where a run that began at a time is kept."""
+    return F.concat(root, F.lit("/run_"), F.date_format(at, "yyyy-MM-dd-HH-mm-ss"))
+
+
+def params_json(*columns: str) -> Column:
+    """A run's parameters as one JSON object, nulls included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def missing(wanted: DataFrame, done: DataFrame, keys: list[str], force: bool = False) -> DataFrame:
     """What is still to do: wanted rows whose key is not done, or all."""
     return wanted if force else wanted.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -106,19 +106,30 @@ def test_conditional_bits_against_sums():
 
 
 def test_containers():
-    data = containers.write_stream([1, 0, 1, 1, 0], b"abcd", [785], 4, [9, 3, 9])
-    meta, back = containers.read_stream(data)
-    assert back == [1, 0, 1, 1, 0] and meta["candidate_token_ids"] == [3, 9] and containers.verify(meta, b"abcd") and not containers.verify(meta, b"abce")
+    code, size = bits.pack([1, 0, 1, 1, 0])[0], 5
+    data = containers.write_stream(code, size, b"abcd", "m", [785], 4, [9, 3, 9], context_length=100, retain_tokens=100)
+    meta, *back = containers.read_stream(data)
+    assert back == [code, size] and meta["candidate_token_ids"] == [3, 9] and containers.verify(meta, b"abcd") and not containers.verify(meta, b"abce")
+    assert (meta["model_name"], meta["use_kv_cache"]) == ("m", False)
     for bad in (b"", b"XACS" + data[4:], data[:-1], data[:-1] + bytes([data[-1] | 1]), data + b"\0"):
         with pytest.raises(ValueError):
             containers.read_stream(bad)
+    for wrong in ({"model_name": ""}, {"seeds": []}, {"token_count": 1}, {"decoded": b""}, {"retain_tokens": 101}, {"retain_tokens": 0}, {"statesize": 0}, {"payload": b"\xff"}):
+        given = {"payload": code, "payload_bits": size, "decoded": b"abcd", "model_name": "m", "seeds": [785], "token_count": 4, "context_length": 100, "retain_tokens": 10} | wrong
+        with pytest.raises(ValueError):
+            containers.write_stream(**given)
+    late = data.replace(b'"token_count":4', b'"token_count":1')
+    with pytest.raises(ValueError):
+        containers.read_stream(late)
     ids = [0, 151642, 17, 999, 42]
     assert containers.read_ids(containers.write_ids(ids, 151643, 37)) == (ids, 37)
-    short = containers.read_predictive(containers.write_predictive([1, 0, 1, 1, 0, 0, 1], 785, 2, 8, 37))
-    assert short == {"model": 2, "seed": 785, "count": 8, "raw_size": 37, "bits": [1, 0, 1, 1, 0, 0, 1]}
-    header, seeds, code, mask = containers.read_global(containers.write_global({"encoding": "AC"}, [0, 2], [1, 1, 0], b"mask"))
-    assert (header, seeds, code, mask) == ({"encoding": "AC"}, [0, 2], [1, 1, 0], b"mask")
-    assert containers.experiment_key("m", "text8", "AC", 10, 5, 1) == "text8:m/AC/n10_c5_b1"
+    short = containers.read_predictive(containers.write_predictive(*(bits.pack([1, 0, 1, 1, 0, 0, 1])[0], 7), 785, 2, 8, 37))
+    assert short == {"model": 2, "seed": 785, "count": 8, "raw_size": 37, "payload": bits.pack([1, 0, 1, 1, 0, 0, 1])[0], "payload_bits": 7}
+    given = ({"encoding": "AC"}, [0, 2], bits.pack([1, 1, 0])[0], 3, b"mask")
+    assert containers.read_global(containers.write_global(*given)) == given
+    with pytest.raises(ValueError):
+        containers.read_global(containers.write_global(*given)[:-1])
+    assert containers.experiment_key("data/text8", "m", 5, 2, 10, True, 1, False, "hf", "AC", None) == "text8:m|ctx=5|ret=2|n=10|kv=True|batch=1|reduce=False|engine=hf|enc=AC|lora=None"
 
 
 def test_lanes_send_the_same_bits():

@@ -70,3 +70,39 @@ def test_sinks(spark, tmp_path):
     assert bytes(files.write_ids16(ids, "k", "ids").first()["data"]) == b"\x01\x00\xff\xff"
     with pytest.raises(PySparkException):
         files.write_ids16(spark.createDataFrame([(1, [65536])], "k int, ids array<int>"), "k", "ids").collect()
+
+
+def test_rows_are_put_and_tables_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "table")
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    files.upsert_rows(frame([("a", 1), ("b", 2)]), path, ["k"])
+    files.upsert_rows(frame([("b", 3), ("c", 4)]), path, ["k"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    assert [x.name for x in tmp_path.iterdir()] == ["table"]
+    odd = frame([('quote " and, comma\nline', 1), (None, None)])
+    for form in ("csv", "json"):
+        files.export(odd, str(tmp_path / form), form)
+    back = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').schema(odd.schema).csv(str(tmp_path / "csv"))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, odd.collect()), key=str)
+    assert sorted(map(tuple, spark.read.schema(odd.schema).json(str(tmp_path / "json")).collect()), key=str) == sorted(map(tuple, odd.collect()), key=str)
+    with pytest.raises(ValueError):
+        files.export(odd, path, "xml")
+    empty = files.tar_bytes(spark.createDataFrame([(1, [])], "k int, m array<string>"), "k", "m")
+    with pytest.raises(PySparkException):
+        files.tar_members(empty).collect()
+    none = files.write_ids16(spark.createDataFrame([(1, None), (2, []), (3, [258])], "k int, ids array<int>"), "k", "ids").collect()
+    assert [bytes(r.data) for r in none] == [b"", b"", b"\x02\x01"]
+
+
+def test_scratch_and_measured_broadcasts(spark):
+    from sparkquill import session
+
+    rows = spark.range(100).withColumn("t", F.lit("x" * 100))
+    assert "ResolvedHint" in session.small(rows)._jdf.queryExecution().analyzed().toString() or "hint" in session.small(rows)._jdf.queryExecution().logical().toString().lower()
+    assert "hint" not in session.small(rows, limit=1000)._jdf.queryExecution().logical().toString().lower()
+    kept = session.stored(rows, "kept")
+    assert kept.count() == 100
+    session.discard(kept)
+    with pytest.raises(PySparkException):
+        spark.read.parquet(kept._stored_at)
+    assert session.unused(spark.range(1).toDF("A"), "a") == "a_"
