@@ -357,11 +357,11 @@ _ATTACKS = {
 
 
 def v3_worst_sequences(spark, d):
-    return _searches(spark, codecs.fit(_docs(spark, d)), _ATTACKS["minprob"])
+    return _searches(spark, codecs.fit(_docs(spark, d)), _ATTACKS["minprob"]).withColumn("surprisal_bits", F.round("surprisal_bits", 5))
 
 
 def v7_worst_per_byte(spark, d):
-    return _searches(spark, codecs.fit(_docs(spark, d)), _ATTACKS["per_byte"])
+    return _searches(spark, codecs.fit(_docs(spark, d)), _ATTACKS["per_byte"]).withColumn("surprisal_bits", F.round("surprisal_bits", 5))
 
 
 def v8_uniform_control(spark, d):
@@ -427,7 +427,20 @@ def _sweep(total: int) -> str:
     return f"SELECT sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (freq = 1), 0)::BIGINT AS clipped, round(sum(delta * n), 3) AS extra_bits, round(max(abs(delta)), 8) AS most, {total}::BIGINT AS total FROM (WITH {f} SELECT n, freq, (log2(n / sum(n) OVER (PARTITION BY ctx)) - log2(freq)) + {float(np.log2(total))} AS delta FROM f)"
 
 
+_IDS = f"WITH RECURSIVE {M1}, {FREQ.format(t=T)}, v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS d FROM (SELECT DISTINCT token FROM m)), s AS (SELECT DISTINCT ctx FROM m), a AS (SELECT c.token AS ctx, x.token, x.d, coalesce(f.freq, CASE WHEN s.ctx IS NULL THEN {T} // k.k + (x.d < {T} % k.k)::INTEGER ELSE 1 END) AS w FROM v c CROSS JOIN v x CROSS JOIN k LEFT JOIN f ON f.ctx = c.token AND f.token = x.token LEFT JOIN s ON s.ctx = c.token)"
+
+
+def _worst(objective: str) -> str:
+    return f"{_IDS}, w0 AS (SELECT ctx, token, w FROM a QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY {objective} DESC, d) = 1), g AS (SELECT token AS start, token AS last, token AS text, 0.0::DOUBLE AS bits, 1 AS n FROM v UNION ALL SELECT start, b.token, text || b.token, bits + 18 - log2(w), n + 1 FROM g JOIN w0 b ON b.ctx = g.last WHERE n < 32) SELECT start, text, 31::BIGINT AS generated_tokens, len(list_distinct(string_split(text, '')))::BIGINT AS distinct_tokens, round(bits, 5) AS surprisal_bits FROM g WHERE n = 32"
+
+
+_BENCH = "bm AS (SELECT ctx, token, count(*) AS n FROM (SELECT item_id, pos, token, coalesce(lag(token) OVER (PARTITION BY item_id ORDER BY pos), '') AS ctx FROM (SELECT item_id, unnest(string_split(text, '')) AS token, unnest(range(len(string_split(text, '')))) AS pos FROM benchmark)) GROUP BY ctx, token), h AS (SELECT ctx, token FROM bm QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) = 1)"
+_STEP = f"(least({AHEAD}, {SPECULATED} - n - 1))"
+
 SQL = {
+    "v3_worst_sequences": _worst("18 - log2(w)"),
+    "v7_worst_per_byte": _worst("(18 - log2(w)) / strlen(token)"),
+    "e28_speculative": f"{_IDS}, {_BENCH}, w0 AS (SELECT ctx, token FROM a QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY w DESC, d) = 1), z AS (SELECT min(token) AS zero FROM v), r AS (SELECT b.ctx, b.token, coalesce(h.token, ' ') AS drafted FROM w0 b LEFT JOIN h ON h.ctx = b.ctx), q AS (SELECT r.ctx, r.token, coalesce(v.token, zero) = r.token AS same FROM r CROSS JOIN z LEFT JOIN v ON v.token = r.drafted), g AS (SELECT token AS start, token AS last, token AS text, 1 AS n, 0 AS spot, {AHEAD} AS most, 0 AS accepted, 0 AS rejected, 0 AS abandoned, 1 AS cycles FROM v UNION ALL SELECT start, q.token, text || q.token, n + 1, CASE WHEN q.same AND spot + 1 < most THEN spot + 1 ELSE 0 END, CASE WHEN q.same AND spot + 1 < most THEN most ELSE {_STEP} END, accepted + q.same::INTEGER, rejected + (NOT q.same)::INTEGER, abandoned + CASE WHEN q.same THEN 0 ELSE most - spot - 1 END, cycles + CASE WHEN (q.same AND spot + 1 < most) OR n + 1 = {SPECULATED} THEN 0 ELSE 1 END FROM g JOIN q ON q.ctx = g.last WHERE n < {SPECULATED}) SELECT start, text, accepted::BIGINT AS accepted, rejected::BIGINT AS rejected, abandoned::BIGINT AS abandoned, cycles::BIGINT AS cycles FROM g WHERE n = {SPECULATED}",
     "m0_unigram_code_length_by_lang": f"WITH ch AS (SELECT lang AS ctx, unnest(string_split(text, '')) AS token FROM documents), m AS (SELECT ctx, token, count(*) AS n FROM ch GROUP BY ALL), k AS (SELECT count(DISTINCT token) AS k FROM m), {FREQ.format(t=T)} SELECT ctx AS lang, sum(n)::BIGINT AS n_tokens, sum(strlen(token) * n)::BIGINT AS n_bytes, round(sum(n * (18.0::DOUBLE - log2(freq))), 3) AS ideal_bits, round(sum(n * (18.0::DOUBLE - log2(freq))) / sum(strlen(token) * n), 6) AS bits_per_byte, round(sum(n * (18.0::DOUBLE - log2(freq))) / (8 * sum(strlen(token) * n)), 6) AS size_ratio FROM f GROUP BY ctx",
     "p1_next_token_counts": f"WITH {M1} SELECT * FROM m",
     "p3_masked_probabilities": f"WITH {M1} SELECT ctx, token, round(n / sum(n) OVER (PARTITION BY ctx), 9) AS p FROM m WHERE token IN (SELECT unnest(string_split('aeiourstln .,', '')))",

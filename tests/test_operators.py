@@ -129,6 +129,33 @@ def test_interval_arrays_are_the_model(spark):
             arrays.symbols("ß")
 
 
+def test_rank_code_sizes_against_brute_force(spark):
+    import heapq
+    from collections import Counter
+
+    draw = random.Random(4)
+    texts = ["", "a", "abab", "zzzzzz"] + ["".join(draw.choice("abc dé") for _ in range(draw.randrange(200))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = codecs.fit(docs)
+    got = {r.doc_id: r for r in codecs.coded(docs, model, "huffman").collect()}
+    for i, text in enumerate(texts):
+        ranks = codecs.rank_stream(model, text)
+        heap = list(Counter(ranks).values())
+        heapq.heapify(heap)
+        total = len(ranks) if len(heap) == 1 else 0
+        while len(heap) > 1:  # the code's length is the sum of all merged weights
+            heapq.heappush(heap, both := heapq.heappop(heap) + heapq.heappop(heap))
+            total += both
+        r = got[i]
+        assert (r.huffman_bits, r.n_tokens, r.sum_rank, r.max_rank, r.lossless) == (total, len(text), sum(ranks), max(ranks, default=0), True)
+        assert r.packed_bits == len(ranks) * max(1, max(ranks, default=0).bit_length())
+    with pytest.raises(ValueError):
+        codecs.coded(docs, model, "morse")
+    sizes = codecs.byte_codecs(docs)
+    assert {(r.doc_id, r.codec): (r.raw, r.exact) for r in sizes.collect()} == {(i, c): (len(t.encode()), True) for i, t in enumerate(texts) for c in codecs.general_codecs()}
+    assert all(r.kb_s > 0 and 0 < r.ratio and r.exact for r in codecs.speeds(sizes, "codec").collect())
+
+
 def test_open_models_code_any_text(spark, monkeypatch):
     monkeypatch.setattr(codecs, "LANE_SYMBOLS", 40)
     docs = spark.createDataFrame([(1, "abracadabra"), (2, "banana band")], "doc_id long, text string")
