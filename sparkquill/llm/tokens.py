@@ -1,7 +1,8 @@
 """Whole-text encoding with the ``tokenizers`` library, by distinct chunk.
 
-The public tokenizers split a text before any merge: before white space that follows other signs, and
-between ASCII letters, digits and punctuation (apostrophes apart, which contractions need). A text's ids
+The public tokenizers split a text before any merge: before white space that follows other signs, after
+a lone line end, and between Latin letters, digits and punctuation (apostrophes apart, which contractions
+need; letters of U+00C0 to U+00FF count, all other signs beyond ASCII stay with their neighbours). A text's ids
 are therefore the concatenated ids of its chunks. The chunks of a batch are cut out of its bytes with
 numpy, made distinct by Arrow, and only those that the worker's bounded table lacks go to the library;
 the ids of all texts are then one gather.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from sparkquill.llm.tables import keep_only
 
 #: Entries of a worker's table, which begins anew beyond them, and the bytes of the longest chunk it keeps.
-CACHE_ENTRIES, CACHE_CHUNK = 700_000, 64
+CACHE_ENTRIES, CACHE_CHUNK = 1_000_000, 64
 #: Bytes of texts that are encoded together.
 BATCH_BYTES = 4 << 20
 #: Chunks that the library encodes as one text.
@@ -103,7 +104,7 @@ class Encoder:
         self.table: dict[bytes, int] = {}
         self.used = 0
         self.ids = np.empty(1 << 16, np.uint32)
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Without chunks."""
@@ -162,8 +163,14 @@ class Encoder:
     def _chunks(self, data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """All chunks of texts that lie in ``data`` at ``bounds``, and how many lie before each text."""
         kind = _KIND[data]
+        latin = np.flatnonzero(data[:-1] == 0xC3)
+        latin = latin[~np.isin(data[latin + 1], (0x97, 0xB7))]
+        kind[latin] = kind[latin + 1] = _LETTER
         begins = np.empty(len(data), bool)
         begins[1:] = (_CHANGES if self.build == "spaced" else _WORDS)[kind[:-1] << 3 | kind[1:]]
+        if self.build == "spaced":
+            blank = kind == _SPACE
+            begins[2:] |= blank[1:-1] & (data[1:-1] != 32) & ~blank[:-2] & ~blank[2:]
         heads = bounds[:-1][np.diff(bounds) > 0]
         begins[heads] = True if self.build == "spaced" else kind[heads] != _SPACE
         at = np.flatnonzero(begins)
@@ -185,7 +192,8 @@ class Encoder:
         words = chunks.dictionary.to_pylist()
         place = np.fromiter(map(self.table.get, words, repeat(-1)), np.int64, len(words))
         if (new := np.flatnonzero(place < 0)).size:
-            new = np.array(sorted(new.tolist(), key=lambda k: len(words[k]) > CACHE_CHUNK))
+            size = np.diff(np.frombuffer(chunks.dictionary.buffers()[1], np.int32, len(words) + 1))[new]
+            new = np.concatenate((new[size <= CACHE_CHUNK], new[size > CACHE_CHUNK]))
             place[new] = self._add([words[k] for k in new.tolist()])
         place = place[chunks.indices.to_numpy()]
         length = self.length[place]

@@ -28,7 +28,7 @@ def _encoded(enc, texts):
 @pytest.mark.parametrize("name", TOKENIZERS)
 def test_chunks_give_whole_texts_ids(name, monkeypatch):
     draw = random.Random(1)
-    signs = "ab'sZ\u00e9\u0301 1!\n\t \u3000&(_-\u03a3\u0130.<|\u0661,;"
+    signs = "\u00d7\u00f7\u00e8\u00c0ab'sZ\u00e9\u0301 1!\n\t \u3000&(_-\u03a3\u0130.<|\u0661,;"
     texts = ODD + ["".join(draw.choice(signs) for _ in range(draw.randrange(80))) for _ in range(6000)]
     texts += ["".join(draw.choice(("word", "Caf\u00e9", " ", "  ", "\n\n", "12", "3", "'s", "'re", "\u00e9l", "\u03b1\u03a3", "(", "...", "x" * 70)) for _ in range(40)) for _ in range(2000)]
     enc, want = tokens.Encoder(tokens.vocabulary(name)), _plain(name)
