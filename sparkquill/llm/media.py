@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquill.llm.dom import blocks
+from sparkquill.llm.tables import join_hot
 from sparkquill.session import stored
 
 WIDTH = 64
@@ -168,19 +169,28 @@ def resolve(sequenced: DataFrame, measurements: DataFrame, key: str) -> DataFram
     return refs.select(key, "ref.pos", "ref.caption", "ref.digest").join(measurements, "digest", "left")
 
 
-def _illustrated(doc_id: int | None, digest: str) -> str:
+def _illustrated(doc_id: int | None, text: str | None, digest: str) -> str:
+    """A document as a page: its lines as paragraphs, its own payload as a figure after the first."""
     name = escape("without id" if doc_id is None else str(doc_id))
-    return f'<article><p>Document {name}</p><figure><img src="media:{digest}" alt="payload"><figcaption>Text of document {name}</figcaption></figure></article>'
+    figure = f'<figure><img src="media:{digest}" alt="payload"><figcaption>Text of document {name}</figcaption></figure>'
+    lines = [f"<p>{escape(x)}</p>" for x in (text or "").split("\n")]
+    return "".join(("<article>", lines[0], figure, *lines[1:], "</article>"))
 
 
-def document_pages(documents: DataFrame) -> DataFrame:
-    """Documents as pages that show their text as a medium: doc_id, n_bytes, html, digest, media.
+_REFERENCES = "array<struct<pos:int,digest:string,caption:string>>"
 
-    ``media`` is null where the task has stored the same digest before.
+
+def document_sequences(documents: DataFrame) -> DataFrame:
+    """Documents as pages that show their text beside it as a medium, read into sequences.
+
+    (doc_id, n_bytes, digest, media, refs, n_texts, texts_sha256): the references of each sequence with their
+    positions and captions, and how many texts it has with the digest of these, joined by line ends. ``media`` is
+    null where the task has stored the same digest before.
     """
 
     def make(batches):
         seen: set[bytes] = set()
+        refs_type = pa.list_(pa.struct([("pos", pa.int32()), ("digest", pa.string()), ("caption", pa.string())]))
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -188,16 +198,24 @@ def document_pages(documents: DataFrame) -> DataFrame:
                 digest = hashlib.sha256(payload)
                 new = digest.digest() not in seen
                 seen.add(digest.digest())
-                rows.append((doc_id, len((text or "").encode("utf-8", "surrogatepass")), _illustrated(doc_id, digest.hexdigest()), digest.hexdigest(), write_png(payload) if new else None))
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "html", "digest", "media"])
+                sequence = interleaved(_illustrated(doc_id, text, digest.hexdigest()))
+                texts = [x["text"] for x in sequence if x["kind"] == "text"]
+                refs = [{k: x[k] for k in ("pos", "digest", "caption")} for x in sequence if x["kind"] == "media"]
+                sha = hashlib.sha256("\n".join(texts).encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((doc_id, len((text or "").encode("utf-8", "surrogatepass")), digest.hexdigest(), write_png(payload) if new else None, refs, len(texts), sha))
+            cols = zip(*rows, strict=True) if rows else [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), refs_type, pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "digest", "media", "refs", "n_texts", "texts_sha256"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n_bytes long, html string, digest string, media binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, f"doc_id long, n_bytes long, digest string, media binary, refs {_REFERENCES}, n_texts long, texts_sha256 string")
 
 
 def document_media(documents: DataFrame) -> DataFrame:
-    """Per document row: doc_id, n_bytes and the measurements of its stored payload."""
-    pages = stored(document_pages(documents), "media")
-    row = F.struct("doc_id", "n_bytes").alias("row")
-    found = resolve(sequences(pages.select(row, "html"), "row"), measured(pages.where(F.col("media").isNotNull())), "row")
-    return found.select("row.doc_id", "row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    """Per document row: doc_id, n_bytes, the measurements of its stored payload, and where it stands among its texts."""
+    pages = stored(document_sequences(documents), "media")
+    facts = measured(pages.where(F.col("media").isNotNull()).select("digest", "media"))
+    uses = pages.select(F.explode("refs.digest").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("uses"))
+    facts = stored(facts.join(uses, "digest"), "media-measured")
+    refs = pages.select("doc_id", "n_bytes", "n_texts", "texts_sha256", F.explode("refs").alias("ref")).select("doc_id", "n_bytes", "n_texts", "texts_sha256", "ref.pos", "ref.caption", "ref.digest")
+    found = join_hot(refs, facts, "digest", "uses")  # every digest here is stored
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "n_texts", "texts_sha256")

@@ -34,17 +34,24 @@ def test_resolution_of_references(spark):
     assert sorted((r.page_id, r.pos, r.caption, r.digest, r.payload_bytes) for r in got) == [(1, 1, "", "d1", 64), (2, 0, "", "none", None), (2, 1, "again", "d1", 64)]
 
 
-def test_documents_against_brute_force(spark):
-    texts = ["", None, "a", "é" * 32, "x" * 64, "y" * 65, "long " * 30_000, "a", "\0 z"]
+def test_documents_against_brute_force(spark, monkeypatch):
+    texts = ["", None, "a", "é" * 32, "x" * 64, "y" * 65, "long " * 30_000, "a", "\0 z", "one\n\n two  <b>&amp; &lt;\nthree 'q' \"", "\n\nlate", "a", "a", "<script>x</script>\n</article><img src='media:q'>"]
     docs = spark.createDataFrame([(None if i == 5 else i // 2 * 2, t, "m") for i, t in enumerate(texts)], "doc_id long, text string, media string").repartition(3)
-    got = media.document_media(docs).collect()
-    assert len(got) == len(texts)
     want = []
     for i, t in enumerate(texts):
         data = (t or "").encode()
         payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
         png = media.write_png(payload)
-        want.append((None if i == 5 else i // 2 * 2, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest()))
-    assert sorted((tuple(r)[:7] for r in got), key=str) == sorted(want, key=str)
-    assert {r.pos for r in got} == {1} and all(r.caption.startswith("Text of document") for r in got)
+        name = None if i == 5 else i // 2 * 2
+        lines = [" ".join(x.replace("\0", "\ufffd").split()) for x in (t or "").split("\n")]
+        pos = int(bool(lines[0]))
+        lines = [x for x in lines if x]
+        caption = f"Text of document {'without id' if name is None else name}"
+        want.append((name, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest(), media.feature_of(media.read_png(png)), pos, caption, len(lines), hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    from sparkquill.llm import tables
+
+    for hot in (tables.HOT_ROWS, 2):
+        monkeypatch.setattr(tables, "HOT_ROWS", hot)
+        got = media.document_media(docs).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert media.document_media(docs.limit(0)).count() == 0
