@@ -10,8 +10,8 @@ The posterior of a page's language multiplies four kinds of evidence:
 * the host: a prior from grouped sums of text posteriors, smoothed towards that of the host's domain,
   which is smoothed towards that of the whole corpus.
 
-All counts are grouped sums over every page, so a hot host is summed before it is shuffled, and pages
-meet their host's prior in a join that may be split by skew.
+All counts are grouped sums over every page, so a hot host is summed before it is shuffled; priors of hosts
+with many pages are broadcast, others meet their pages in a shuffle.
 
 The text model is fitted on the documents of at most ``TRAIN_ROWS`` pairs of id and language, those with the
 smallest hash of the id. Only these pairs are sorted; texts are counted where they lie. Every language among
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm.dom import blocks
 from sparkquill.llm.site_style import _host, kept
+from sparkquill.llm.tables import join_hot
 from sparkquill.session import stored
 
 TRAIN_ROWS, BUCKETS, GRAM = 4_000, 1 << 15, 3
@@ -133,7 +134,7 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
         return F.transform(n, lambda x, i: (x + k * F.get(base, i)) / (rows_ + k))
 
     domains = sums("domain").select("domain", smooth(F.col("n"), F.col("rows"), world, SMOOTH_DOMAIN).alias("_domain"))
-    hosts = sums("host", "domain").join(domains, "domain").select("host", smooth(F.col("n"), F.col("rows"), F.col("_domain"), SMOOTH_HOST).alias("prior"))
+    hosts = sums("host", "domain").join(domains, "domain").select("host", "rows", smooth(F.col("n"), F.col("rows"), F.col("_domain"), SMOOTH_HOST).alias("prior"))
 
     def likelihood(key: str) -> Column:
         """log P(value | language) for the row's value, by confusion with the text's posterior."""
@@ -142,7 +143,7 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
         out = F.when(F.col(key).isNull(), F.array(*(F.lit(0.0) for _ in range(size))))
         return reduce(lambda c, r: c.when(F.col(key) == r[key], F.array(*(F.lit(float(np.log((r["n"][i] + SMOOTH_LIKELIHOOD) / total[i]))) for i in range(size)))), got, out)
 
-    judged = rows.withColumn("_declared", likelihood("declared")).withColumn("_address", likelihood("address")).join(hosts, "host")
+    judged = join_hot(rows.withColumn("_declared", likelihood("declared")).withColumn("_address", likelihood("address")), stored(hosts, "language-hosts"), "host", "rows")
     score = F.transform("text", lambda x, i: x + F.get("_declared", i) + F.get("_address", i) + _log(F.get("prior", i)))
     judged = judged.withColumn("_s", score)
     best = F.array_max("_s")
