@@ -237,10 +237,11 @@ def _large_clusters(members: DataFrame, weights: DataFrame, block: int) -> DataF
                 near.append(100 * common >= PERCENT * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(near)], ["cluster", "pivot", "v", "n", "shingles", "near"])
 
-    seen = members.join(pivots, "cluster").select("cluster", "pivot", "v", "n", "shingles", "_pivot")
+    # One row for each large cluster: where these are few, no cluster's members come together in one task.
+    seen = members.join(small(pivots, "near-dup-pivot-sets"), "cluster").select("cluster", "pivot", "v", "n", "shingles", "_pivot")
     seen = stored(seen.mapInArrow(measure, "cluster long, pivot long, v long, n long, shingles binary, near boolean"), "near-dup-pivots")
     blocks = seen.groupBy("cluster").agg(F.ceil(F.sum("n") / block).cast("int").alias("nb"), F.ceil(F.sum(F.when(F.col("near"), 0).otherwise(F.col("n"))) / block).cast("int").alias("nr"))
-    placed = seen.join(blocks.where(F.col("nr") > 0), "cluster").withColumn("b", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")).withColumn("r", F.pmod(F.xxhash64("v", F.lit(1)), F.col("nr")).cast("int"))
+    placed = seen.join(small(blocks.where(F.col("nr") > 0), "near-dup-blocks"), "cluster").withColumn("b", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")).withColumn("r", F.pmod(F.xxhash64("v", F.lit(1)), F.col("nr")).cast("int"))
     every = placed.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)))
     rest = placed.where(~F.col("near")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = every.unionByName(rest).select("cluster", "r", "b", "v", "shingles", "near").repartition("cluster", "r", "b").sortWithinPartitions("cluster", "r", "b")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkquill.llm import near_dup
@@ -108,7 +109,11 @@ def test_recall_of_bands_at_the_threshold():
         assert met >= 199, n
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("hot", (1000, 3))
+def test_components_of_paths_stars_and_loops(spark, monkeypatch, hot):
+    from sparkquill.llm import tables
+
+    monkeypatch.setattr(tables, "HOT_ROWS", hot)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(6, 40)] + [(70, 70), (80, 79), (79, 80)]
     got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 5 for i in range(5, 40)}, 79: 79, 80: 79}
