@@ -83,3 +83,20 @@ def test_rows_without_an_id_of_their_own_are_judged_each(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     clean = [rows[i] for i in (0, 3, 4, 5)]
     assert sorted(map(tuple, decontaminate.remove_documents(docs, items).collect()), key=str) == sorted(clean, key=str)
+
+
+def test_stages_on_odd_rows_columns_and_empty_tables(spark, tmp_path):
+    rows = [(1, "word " * 40, 3), (1, "word " * 40, 4), (2, None, 5), (None, "", 6), (None, "mail a@b.co now", 7), (3, "x" * 200_000, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `score.of` int")
+    benchmark = spark.createDataFrame([(1, None), (2, "some benchmark passage of words that nothing else here holds at all")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, df in (("benchmark", benchmark), ("labels", labels)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for table_, n in ((docs, 6), (docs.limit(0), 0)):
+        now = stored(table_, "test-odd")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stored(stage(spark, now, str(tmp_path)), "test-odd")
+            assert now.columns == docs.columns, name
+        assert now.count() == max(0, n - 1)  # one of the equal rows goes
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+        assert packed.where("piece = 0").count() == max(0, n - 1)
