@@ -312,6 +312,7 @@ SQL = {
     "r32_relative": f"WITH c AS (SELECT * FROM {_C}) SELECT technique, round(size / (SELECT size FROM c WHERE technique = 'gzip-9'), 6) AS relative FROM c",
     "r33_interval_histogram": "WITH h AS (SELECT lang, CASE WHEN length(text) < 100 THEN 0 WHEN length(text) < 1000 THEN 1 WHEN length(text) < 5000 THEN 2 ELSE 3 END AS place, count(*) AS n FROM documents GROUP BY ALL) SELECT lang, place, n, round(n / sum(n) OVER (PARTITION BY lang), 6) AS share FROM h",
     "r34_equal_bins": "WITH x AS (SELECT length(text) AS x FROM documents), e AS (SELECT min(x) AS lo, max(x) AS hi FROM x) SELECT least(floor((x - lo)::DOUBLE / (hi - lo) * 20), 19)::INTEGER AS bin, count(*) AS n FROM x, e GROUP BY 1",
+    "r35_labels": r"WITH x AS (SELECT doc_id, strlen(text)::DOUBLE AS b FROM documents), y AS (SELECT doc_id, b, CASE WHEN b < 1024 THEN 0 WHEN b < 1024.0 ** 2 THEN 1 WHEN b < 1024.0 ** 3 THEN 2 WHEN b < 1024.0 ** 4 THEN 3 ELSE 4 END AS k FROM x), z AS (SELECT doc_id, k, b / 1024.0::DOUBLE ** k AS v FROM y) SELECT doc_id, regexp_replace(printf('%.2f', CASE WHEN v < 10 THEN round_even(v, 2) WHEN v < 100 THEN round_even(v, 1) ELSE round_even(v, 0) END), '\.?0+$', '') || (['B', 'KB', 'MB', 'GB', 'TB'])[k + 1] AS label FROM z",
     "r36_slugs": "SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' / ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part",
     "r38_experiment_grid": "SELECT encoding, batch, encoding || '_b' || batch AS job FROM (VALUES ('AC'), ('huffman'), ('bitpacked')) a(encoding), (VALUES (1), (16), (32)) b(batch)",
     "r40_geometric_means": "SELECT lang, round(exp(avg(ln(length(text)))), 6) AS mean FROM documents WHERE text <> '' GROUP BY lang",

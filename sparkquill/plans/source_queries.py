@@ -124,7 +124,7 @@ def k4_atomic_replace(spark, d):
 
 def k5_exports(spark, d):
     """Counts by language, exported as CSV and as JSON, read back."""
-    rows = _docs(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.substring("text", 1, 12)).alias("least"))
+    rows = _docs(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("least"))
     out = None
     for form in ("csv", "json"):
         path = scratch_path(spark, f"export-{form}")
@@ -183,10 +183,10 @@ def v21_finalised_streams(spark, d):
 
 
 def p2_ragged_prompts(spark, d):
-    """The greedy next character of prompts of unequal lengths, without padding."""
-    prompts = table(spark, d, "benchmark").select("item_id", F.expr("substring(text, 1, 5 + item_id % 11)").alias("prompt"))
+    """The greedy next character of whole texts as prompts, of unequal lengths and without padding."""
+    prompts = table(spark, d, "benchmark").select("item_id", F.col("text").alias("prompt"))
     best = small(md.most_likely(mq._model(spark, d)).select("ctx", "token"), "best")
-    return prompts.join(best, F.expr("right(prompt, 1) = ctx"), "left").select("item_id", "prompt", F.col("token").alias("following"))
+    return prompts.join(best, F.expr("right(prompt, 1) = ctx"), "left").select("item_id", F.length("prompt").cast("bigint").alias("n_seen"), F.col("token").alias("following"))
 
 
 def p6_resumed_scores(spark, d):
@@ -208,7 +208,7 @@ def t18_local_round_trip(spark, d):
 _T = mq.T
 SQL = {
     "s2_tar_texts": "SELECT doc_id, sha256(text) AS sha256, sha256(string_split(text, chr(10))[1]) AS first_sha256 FROM documents",
-    "s3_inline_text": "SELECT 'inline' AS path, 'One text,' || chr(10) || 'as given: é \U0001f600' AS text, 25::BIGINT AS n_bytes",
+    "s3_inline_text": "SELECT 'inline' AS path, 'One text,' || chr(10) || 'as given: é \U0001f600' AS text, 27::BIGINT AS n_bytes",
     "s7_training_rows": r"WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 256, 0), 256)) AS start FROM w) SELECT doc_id, start::BIGINT AS start, 256::BIGINT AS n, sha256(array_to_string(w[start + 1 : start + 256], ' ')) AS sha256 FROM b",
     "s8_results_file": f"SELECT run_key, model, batch_size, original_size_bytes AS raw, final_size_bytes AS final, total_compression_time AS seconds FROM {rq.values(rq.RUNS, rq.RUN_NAMES)}",
     "s9_one_run": f"SELECT 'run_a' AS run, original_size_bytes AS raw, model FROM {rq.values(rq.RUNS[7:8], rq.RUN_NAMES)}",
@@ -219,7 +219,7 @@ SQL = {
     "k1_global_files": "SELECT doc_id, sha256(text) AS sha256, length(text)::BIGINT AS n_tokens, len(list_distinct(string_split(text, '')))::BIGINT AS n_used FROM documents",
     "k2_upsert_rows": "SELECT lang, source, (CASE WHEN lang = 'de' THEN -n ELSE n END)::BIGINT AS n FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source) UNION ALL SELECT 'xx', 'new', 1",
     "k4_atomic_replace": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
-    "k5_exports": "SELECT lang, count(*) AS n, min(substring(text, 1, 12)) AS least, form FROM documents, (VALUES ('csv'), ('json')) f(form) GROUP BY lang, form",
+    "k5_exports": "SELECT lang, count(*) AS n, min(source) AS least, form FROM documents, (VALUES ('csv'), ('json')) f(form) GROUP BY lang, form",
     "k6_sidecars": "SELECT item_id, sha256(text) AS text_sha256, sha256(array_to_string(list_transform(string_split(text, ''), lambda x: ord(x)), ' ')) AS ids_sha256 FROM benchmark",
     "k7_ids16": r"SELECT doc_id, sha256(array_to_string(list_transform(x, lambda n: printf('%02x%02x', n % 256, n // 256)), '')) AS hex_sha256, (2 * len(x))::BIGINT AS n_bytes FROM (SELECT doc_id, list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), lambda x: length(x)) AS x FROM documents)",
     "k8_run_directories": f"""SELECT run_key, 'results/run_' || strftime(TIMESTAMP '2024-03-01 07:05:09' + to_seconds(batch_size), '%Y-%m-%d-%H-%M-%S') AS directory, '{{"model":"' || model || '","batch_size":' || batch_size || ',"lora_path":' || coalesce('"' || lora_path || '"', 'null') || '}}' AS params FROM {rq.values(rq.RUNS, rq.RUN_NAMES)}""",
@@ -228,7 +228,7 @@ SQL = {
     "e2_presorted_frequencies": f"WITH {mq.M1}, {mq.FREQ.format(t=_T)} SELECT ctx, count(*) AS n_seen, {_T}::BIGINT AS total, min(freq) AS least FROM f GROUP BY ctx",
     "b2_file_benchmark": "SELECT lang, codec, sum(strlen(text))::BIGINT AS raw, true AS exact, true AS has_ratio, true AS has_speed FROM documents, (VALUES ('gzip-9'), ('zip'), ('zstd-3')) c(codec) GROUP BY ALL",
     "v21_finalised_streams": "SELECT doc_id, sha256(text) AS sha256, length(text)::BIGINT AS n_tokens, true AS verified FROM documents WHERE length(text) > 1",
-    "p2_ragged_prompts": f"WITH {mq.M1}, g AS (SELECT ctx, token FROM m QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) = 1) SELECT item_id, substring(text, 1, 5 + item_id % 11) AS prompt, g.token AS following FROM benchmark LEFT JOIN g ON g.ctx = right(substring(text, 1, 5 + item_id % 11), 1)",
+    "p2_ragged_prompts": f"WITH {mq.M1}, g AS (SELECT ctx, token FROM m QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) = 1) SELECT item_id, length(text)::BIGINT AS n_seen, g.token AS following FROM benchmark LEFT JOIN g ON g.ctx = right(text, 1)",
     "p6_resumed_scores": mq.SQL["e7_cross_entropy"],
 }
 
