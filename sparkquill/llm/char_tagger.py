@@ -120,21 +120,28 @@ class Tagger:
         return float((total.sum() - gold) / batch), g
 
     def marginals(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The probability of each tag at each step of padded rows of scores (rows, steps, TAGS)."""
+        """The probability of each tag at each step of padded rows of scores (rows, steps, TAGS).
+
+        Both passes are kept near zero at each step, so that long rows lose no precision.
+        """
         steps, trans = e.shape[1], self.p["trans"]
         alpha, beta = np.empty_like(e), np.zeros_like(e)
         alpha[:, 0] = e[:, 0]
         for t in range(1, steps):
             alpha[:, t] = np.where((t < lengths)[:, None], _logsumexp(alpha[:, t - 1, :, None] + trans, 1) + e[:, t], alpha[:, t - 1])
+            alpha[:, t] -= alpha[:, t].max(1, keepdims=True)
         for t in range(steps - 2, -1, -1):
             beta[:, t] = np.where((t + 1 < lengths)[:, None], _logsumexp(trans + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-        return np.exp(alpha + beta - _logsumexp(alpha[:, -1], 1)[:, None, None])
+            beta[:, t] -= beta[:, t].max(1, keepdims=True)
+        both = alpha + beta
+        return np.exp(both - _logsumexp(both, 2)[:, :, None])
 
     def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The best tags of each padded row of scores (rows, steps, TAGS)."""
         rows, steps, _ = e.shape
         best, back = e[:, 0].copy(), np.zeros((rows, steps, TAGS), np.int8)
         for t in range(1, steps):
+            best -= best.max(1, keepdims=True)
             score = best[:, :, None] + self.p["trans"]
             back[:, t] = score.argmax(1)
             best = np.where((t < lengths)[:, None], score.max(1) + e[:, t], best)

@@ -3,9 +3,11 @@
 The base patterns find emails, IP addresses, card and phone numbers in linear time. The tagger (see
 ``char_tagger``; trained in numpy from labelled spans) reads windows that overlap by half. Scores of a
 character are averaged over its windows, weighted towards their middles, and each run of touching
-windows is decoded as one sequence, so no span is cut at a window's edge. A span must hold an ``@``, a
-spelled-out ``(at)`` or ``LEAST_DIGITS`` digits. Windows near none of these signs are not run: a run holds
-the windows of a sign and of their neighbours, so that what is around a sign is scored by all its windows.
+windows is decoded as one sequence, so no span is cut at a window's edge (a run over ``RUN`` characters in
+pieces that overlap by far more than a span). A span must hold an ``@``, a spelled-out ``(at)`` or
+``LEAST_DIGITS`` digits. Windows near none of these signs are not run: a run holds the windows of a sign and
+of their neighbours, so that what is around a sign is scored by all its windows, and the spans are those
+that running all windows gives.
 
 Base spans stay; the tagger adds spans that touch none of them and whose mean probability is high.
 Positions are code points, ends exclusive.
@@ -34,8 +36,11 @@ from sparkquill.session import scratch_root
 LEAST_DIGITS = 7
 #: Least mean probability of an added span.
 CONFIDENCE = 0.8
-#: Windows that are run together.
-_AT_ONCE = 512
+#: Windows whose scores are held together, but for one piece more.
+AT_ONCE = 8192
+#: Runs of windows are decoded in pieces of so many characters, with so many more around them. A span belongs to the
+#: piece in which it begins.
+RUN, MARGIN = 1 << 15, 512
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -91,49 +96,72 @@ def _windows(text: str) -> list[tuple[int, int]]:
     return runs
 
 
+def _pieces(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, from, to): stretches of runs to decode, and where the spans that count begin."""
+    out = []
+    for a, b in _windows(text):
+        for first in range(a, b, RUN):
+            last = min(first + RUN, b)
+            out.append((max(a, first - MARGIN), min(b, last + MARGIN), first, last))
+    return out
+
+
 def _tagged(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """The tagger's own spans of each text."""
+    found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    half, held, number = WINDOW // 2, [], 0
+    for k, text in enumerate(texts):
+        for piece in _pieces(text):
+            held.append((k, *piece))
+            number += (piece[1] - piece[0]) // half - 1
+            if number >= AT_ONCE:
+                _decode(model, texts, held, found)
+                held, number = [], 0
+    _decode(model, texts, held, found)
+    return [sorted(x, key=lambda s: s[1]) for x in found]
+
+
+def _decode(model: Tagger, texts: list[str], held: list[tuple[int, int, int, int, int]], found: list[list]) -> None:
+    """Add the spans of pieces (text, start, end, from, to) to those of their texts."""
+    if not held:
+        return
     half = WINDOW // 2
     weight = (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
-    regions, windows = [], []
-    for k, text in enumerate(texts):
-        runs = _windows(text)
-        if not runs:
-            continue
-        c = np.pad(codes(text), (0, WINDOW))
-        for a, b in runs:
-            starts = range(a, b - half, half)
-            regions.append((k, a, min(b, len(text)), len(windows), len(starts)))
-            windows.extend(c[s : s + WINDOW] if s + WINDOW <= len(c) else np.pad(c[s:], (0, s + WINDOW - len(c))) for s in starts)
-    found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    if not windows:
-        return found
-    scores = np.concatenate([model.emissions(np.stack(windows[i : i + _AT_ONCE])) for i in range(0, len(windows), _AT_ONCE)])
-    regions.sort(key=lambda r: r[4])
-    for i in range(0, len(regions), 64):
-        part = regions[i : i + 64]
-        steps = (part[-1][4] + 1) * half
+    windows, regions = [], []
+    for k, a, b, first, last in held:
+        c = codes(texts[k][a:b])
+        c = np.pad(c, (0, b - a - len(c)))
+        n = (b - a) // half - 1
+        regions.append((k, a, min(b, len(texts[k])), first, last, len(windows), n))
+        windows.extend(c[w * half : w * half + WINDOW] for w in range(n))
+    scores = np.concatenate([model.emissions(np.stack(windows[i : i + 512])) for i in range(0, len(windows), 512)])
+    regions.sort(key=lambda r: r[6])
+    at_once = 0
+    while at_once < len(regions):
+        # Regions of about one length are decoded together.
+        part = [r for r in regions[at_once : at_once + 64] if r[6] <= 2 * regions[at_once][6] + 8]
+        at_once += len(part)
+        steps = (part[-1][6] + 1) * half
         e, total = np.zeros((len(part), steps, TAGS), np.float32), np.zeros((len(part), steps, 1), np.float32)
-        for row, (_, _, _, first, n) in enumerate(part):
+        for row, (*_, begin, n) in enumerate(part):
             for w in range(n):
-                e[row, w * half : w * half + WINDOW] += scores[first + w] * weight[:, None]
+                e[row, w * half : w * half + WINDOW] += scores[begin + w] * weight[:, None]
                 total[row, w * half : w * half + WINDOW] += weight[:, None]
         e /= np.maximum(total, 1e-6)
-        lengths = np.array([b - a for _, a, b, _, _ in part])
+        lengths = np.array([b - a for _, a, b, *_ in part])
         tags, p = model.viterbi(e, lengths), model.marginals(e, lengths)
-        for row, (k, a, b, _, _) in enumerate(part):
-            t, at = tags[row], 0
-            while at < b - a:
+        for row, (k, a, b, first, last, _, _) in enumerate(part):
+            t = tags[row]
+            for at in np.flatnonzero(t[: b - a] % 2).tolist():
+                if not first <= a + at < last:
+                    continue
                 end = at + 1
-                if t[at] % 2:
-                    while end < b - a and t[end] == t[at] + 1:
-                        end += 1
-                    piece = texts[k][a + at : a + end]
-                    own = p[row, np.arange(at, end), t[at:end]].mean()
-                    if own >= CONFIDENCE and (_SPELLED.search(piece) or sum(x.isdigit() for x in piece) >= LEAST_DIGITS):
-                        found[k].append((KINDS[(t[at] - 1) // 2], a + at, a + end))
-                at = end
-    return found
+                while end < b - a and t[end] == t[at] + 1:
+                    end += 1
+                piece = texts[k][a + at : a + end]
+                own = p[row, np.arange(at, end), t[at:end]].mean()
+                if own >= CONFIDENCE and (_SPELLED.search(piece) or sum(x.isdigit() for x in piece) >= LEAST_DIGITS):
+                    found[k].append((KINDS[(t[at] - 1) // 2], a + at, a + end))
 
 
 def find(texts: list[str | None], model: Tagger) -> list[tuple[list, list]]:

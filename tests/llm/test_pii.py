@@ -110,6 +110,21 @@ def test_tagger_on_text_of_another_kind():
     assert beyond > 200 and beyond_hit / beyond > 0.85
 
 
+def test_windows_without_signs_and_pieces_of_runs_change_nothing(monkeypatch):
+    model, draw = char_tagger.invented_tagger(), random.Random(11)
+    texts = [char_tagger.labelled_text(draw)[0] for _ in range(40)]
+    texts += [" ".join("plain words of prose " * draw.randint(0, 60) + x for x in (sentences(draw)[0] for _ in range(6))) for _ in range(20)] + ["", "no sign", "7" * 5000]
+    want = pii._tagged(model, texts)
+    assert sum(map(len, want)) > 300
+    monkeypatch.setattr(pii, "AT_ONCE", 3)
+    assert pii._tagged(model, texts) == want
+    monkeypatch.setattr(pii, "RUN", 1024)
+    assert pii._tagged(model, texts) == want
+    monkeypatch.setattr(pii, "_windows", lambda x: [(0, max(64, -(-len(x) // 32) * 32 + 32))] if x else [])
+    monkeypatch.setattr(pii, "RUN", 1 << 15)
+    assert [set(x) for x in pii._tagged(model, texts)] == [set(x) for x in want]
+
+
 def test_tagger_is_stored_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pii, "scratch_root", lambda _: f"file://{tmp_path}")
     trained = pii.tagger(spark)
