@@ -22,7 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkquill.llm.tokens import encoder
@@ -122,11 +122,21 @@ class Image:
         return self.ids[self.start(k) : self.start(k + 1)]
 
 
-_IDS = "doc_id long, part int, ids binary"
+_IDS = "doc_id long, part int, key int, ids binary"
 _FILES = "part int, base long, n_docs long, n_ids long, image binary"
 _ROWS = "part int, local long, doc_id long, n_tokens long, ids_crc32 long"
 
 
+def _keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each partition of a shuffle a number that hashing deals there, so that ranges and partitions go one to one.
+
+    The driver gets one row for each partition, which is a setting of the cluster.
+    """
+    tried = spark.range(int(parts * (np.log(parts + 1) + 8) * 1.5)).select(F.col("id").cast("int").alias("key"))
+    found = {r["at"]: r["key"] for r in tried.groupBy(F.pmod(F.hash("key"), F.lit(parts)).alias("at")).agg(F.min("key").alias("key")).collect()}
+    return np.array([found.get(k, k) for k in range(parts)], np.int32)
+
+
 def write_files(documents: DataFrame, tokenizer: str, id_bytes: int = 2, name: str = "token-files") -> DataFrame:
     """Encode and write all documents in ascending ``doc_id`` order; the table of files.
 
@@ -136,7 +146,7 @@ def write_files(documents: DataFrame, tokenizer: str, id_bytes: int = 2, name: s
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Bounds of ranges: one number for each partition of a shuffle, from a scan of the ids alone.
     found = documents.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts).alias("q")).first()["q"] if parts > 1 else None
-    bounds = np.unique(np.array(found or [], np.int64))
+    bounds, keys = np.unique(np.array(found or [], np.int64)), _keys(documents.sparkSession, parts)
 
     def encode(batches):
         enc = encoder(tokenizer)
@@ -148,7 +158,7 @@ def write_files(documents: DataFrame, tokenizer: str, id_bytes: int = 2, name: s
                     raise ValueError(f"an id does not fit in {id_bytes} bytes")
                 n = len(ends) - 1
                 packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * id_bytes).astype(np.int32)), pa.py_buffer(ids.astype(f"<u{id_bytes}"))])
-                yield pa.RecordBatch.from_arrays([names.slice(first, n), pa.array(part[first : first + n]), packed], ["doc_id", "part", "ids"])
+                yield pa.RecordBatch.from_arrays([names.slice(first, n), pa.array(part[first : first + n]), pa.array(keys[part[first : first + n]]), packed], ["doc_id", "part", "key", "ids"])
 
     def pack(batches):
         part, base, names, docs, size = None, 0, [], [], 0
@@ -170,8 +180,8 @@ def write_files(documents: DataFrame, tokenizer: str, id_bytes: int = 2, name: s
             yield row()
 
     ids = documents.mapInArrow(encode, _IDS)
-    ordered = ids.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
-    return stored(ordered.mapInArrow(pack, _FILES), name)
+    ordered = ids.repartition(parts, "key").sortWithinPartitions("part", "doc_id", "ids")
+    return stored(ordered.select("doc_id", "part", "ids").mapInArrow(pack, _FILES), name)
 
 
 def read_files(files: DataFrame) -> DataFrame:
