@@ -172,6 +172,32 @@ class Intervals:
             symbol = np.where(seen, found, symbol)
         return symbol, *self.interval(context, symbol)
 
+    def find_one(self, context: int, slot: int) -> tuple[int, int, int]:
+        """``find`` for plain numbers."""
+        if not hasattr(self, "_by_code"):
+            self._by_code = {int(c): (int(a), int(b)) for c, a, b in zip(self.codes, self.first[:-1], self.first[1:], strict=True)}
+            self._lists: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        if context not in self._by_code:
+            wide, more = divmod(self.total, self.size)
+            edge = more * (wide + 1)
+            d = slot // (wide + 1) if slot < edge else more + (slot - edge) // wide
+            lo = d * wide + min(d, more)
+            return d, lo, lo + wide + (d < more)
+        if context not in self._lists:
+            a, b = self._by_code[context]
+            self._lists[context] = (self.ids[a:b].tolist(), self.lows[a:b].tolist(), self.freqs[a:b].tolist())
+        ids, lows, freqs = self._lists[context]
+        k = bisect.bisect_right(lows, slot) - 1
+        if k < 0:
+            return slot, slot, slot + 1
+        beyond = slot - lows[k] - freqs[k]
+        if beyond < 0:
+            return ids[k], lows[k], lows[k] + freqs[k]
+        return ids[k] + 1 + beyond, slot, slot + 1
+
+    def following_one(self, context: int, symbol: int) -> int:
+        return (context * self.base + symbol + 1) % self.base**self.order if self.order else context
+
     def _ranked(self) -> None:
         row = np.repeat(np.arange(len(self.codes)), np.diff(self.first))
         at = np.arange(len(row)) - self.first[row]
@@ -361,7 +387,7 @@ def texts_of(streams: DataFrame, model: CharModel | Intervals) -> DataFrame:
             doc_ids, counts, payloads, sizes = (batch.column(i) for i in range(4))
             counts, payloads, sizes = counts.to_pylist(), payloads.to_pylist(), sizes.to_pylist()
             for part in _runs(counts):
-                back = lanes.decode([(payloads[i], sizes[i]) for i in part], [counts[i] for i in part], own.total, own.find, own.following)
+                back = lanes.decode([(payloads[i], sizes[i]) for i in part], [counts[i] for i in part], own.total, own.find, own.following, single=(own.find_one, own.following_one))
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(part.start, len(part)), pa.array([own.text(x) for x in back], pa.string())], ["doc_id", "text"])
 
     return spread(streams.select("doc_id", "n_tokens", "payload", "payload_bits")).mapInArrow(run, "doc_id long, text string")
@@ -453,7 +479,7 @@ def containers_of(docs: DataFrame, model: CharModel, name: str = "characters") -
                 parsed = [containers.read_stream(x) for x in streams]
                 seeds = [m["seed_token_ids"][0] for m, _, _ in parsed]
                 begin = own.following(np.zeros(len(seeds), np.int64), np.array(seeds, np.int64)).tolist()
-                backs = lanes.decode([(p, n) for _, p, n in parsed], [m["token_count"] - 1 for m, _, _ in parsed], own.total, own.find, own.following, begin)
+                backs = lanes.decode([(p, n) for _, p, n in parsed], [m["token_count"] - 1 for m, _, _ in parsed], own.total, own.find, own.following, begin, (own.find_one, own.following_one))
                 rows = []
                 for i, d, x, code, stream, (meta, _, _), seed, back in zip(part, data, symbols, codes, streams, parsed, seeds, backs, strict=True):
                     whole = own.text(np.concatenate(([seed], back)))

@@ -272,8 +272,9 @@ def v1_worst_token(spark, d):
 def v2_target_scores(spark, d):
     """Full and masked scores of every character that is a letter, with the letters as the mask."""
     letters = spark.createDataFrame([(c,) for c in "abcdefghijklmnopqrstuvwxyz"], "token string")
-    full = md.probabilities(_model(spark, d)).select("ctx", "token", F.col("p").alias("full"))
-    mask = md.masked(_model(spark, d), letters).select("ctx", "token", F.col("p").alias("masked"), "n")
+    model = _model(spark, d)
+    full = md.probabilities(model).select("ctx", "token", F.col("p").alias("full"))
+    mask = md.masked(model, letters).select("ctx", "token", F.col("p").alias("masked"), "n")
     both = mask.join(full, ["ctx", "token"])
     return both.groupBy("ctx").agg(F.sum("n").alias("n"), F.round(F.sum(-F.log2("full") * F.col("n")), 3).alias("full_bits"), F.round(F.sum(-F.log2("masked") * F.col("n")), 3).alias("masked_bits"))
 

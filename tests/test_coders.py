@@ -151,8 +151,10 @@ def test_lanes_send_the_same_bits():
             s = np.searchsorted(cuts, slot, "right") - 1
             return s, cuts[s], cuts[s + 1]
 
-        back = lanes.decode(got, sizes, total, find, lambda c, s: c)
-        assert all(a.tolist() == b.tolist() for a, b in zip(back, symbols, strict=True))
+        one = (lambda c, slot, find=find: tuple(int(x) for x in find(c, slot)), lambda c, s: c)
+        for single in (None, one):
+            back = lanes.decode(got, sizes, total, find, lambda c, s: c, single=single)
+            assert all(a.tolist() == b.tolist() for a, b in zip(back, symbols, strict=True))
     with pytest.raises(ValueError):
         lanes.encode([np.array([3])], [np.array([3])], 10)
     # The middle third postpones a bit for each symbol.
