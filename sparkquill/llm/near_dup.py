@@ -160,7 +160,7 @@ def linked_components(sets: list[np.ndarray], label: np.ndarray | None = None, p
             label[np.isin(label, joined)] = joined[0]
 
 
-_SKETCH = "rid long, doc_id long, n long, digest binary, keys array<long>"
+_SKETCH = "rid long, doc_id long, h long, n long, digest binary, keys array<long>"
 
 
 def _sketches(documents: DataFrame, row: str | None) -> DataFrame:
@@ -176,10 +176,10 @@ def _sketches(documents: DataFrame, row: str | None) -> DataFrame:
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append(bands.keys(s) if len(s) >= _LEAST else None)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "doc_id", "n", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "doc_id", "h", "n", "digest", "keys"])
 
     rid = F.col(f"`{row}`") if row else F.monotonically_increasing_id()
-    return documents.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, _SKETCH)
+    return documents.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(sketch, _SKETCH)
 
 
 def _groups(batches, keys: tuple[str, ...]):
@@ -267,7 +267,7 @@ def _placed(documents: DataFrame, task_shingles: int, broadcast_bytes: int, row:
     classes = stored(sketch.where(F.col("n") > 0).groupBy("digest").agg(F.min("rid").alias("v"), F.count(F.lit(1)).alias("copies")), "near-dup-digests")
     own = F.coalesce("v", "rid")
     named = join_hot(sketch.where(F.col("n") > 0), classes, "digest", "copies").unionByName(sketch.where(F.col("n") == 0).withColumn("v", F.lit(None).cast("long")))
-    rows = named.select("rid", "doc_id", "n", own.alias("v"), F.when(own == F.col("rid"), F.col("keys")).alias("keys"), F.when(own == F.col("rid"), F.col("digest")).alias("digest"))
+    rows = named.select("rid", "doc_id", "h", "n", own.alias("v"), F.when(own == F.col("rid"), F.col("keys")).alias("keys"), F.when(own == F.col("rid"), F.col("digest")).alias("digest"))
     rows = stored(rows, "near-dup-classes")
 
     buckets = rows.where(F.col("keys").isNotNull()).select("v", F.explode("keys").alias("key"))
@@ -275,9 +275,9 @@ def _placed(documents: DataFrame, task_shingles: int, broadcast_bytes: int, row:
     spokes = stored(buckets.join(stars, "key").groupBy("v", "centre").agg(F.sum("m").alias("m")), "near-dup-stars")
     clusters = stored(components(spokes.where(F.col("v") != F.col("centre")).select("v", "centre"), "near-dup-clusters").withColumnRenamed("root", "cluster"), "near-dup-members")
 
-    members = rows.where(F.col("keys").isNotNull()).select("v", "doc_id", "n", "digest").join(clusters, "v")
+    members = rows.where(F.col("keys").isNotNull()).select("v", "doc_id", "h", "n", "digest").join(clusters, "v")
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("size"))
-    members = stored(members.join(sizes, "cluster").select("cluster", "size", "v", "n", "digest", F.col("doc_id").alias("_doc_id")), "near-dup-candidates")
+    members = stored(members.join(sizes, "cluster").select("cluster", "size", "v", "n", "digest", F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h")), "near-dup-candidates")
     totals = members.agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("largest")).first()
     probe = F.broadcast(members) if totals["rows"] * 128 <= broadcast_bytes else members
 
@@ -294,8 +294,9 @@ def _placed(documents: DataFrame, task_shingles: int, broadcast_bytes: int, row:
     if row:
         full = documents.select(F.col(f"`{row}`").alias("v"), "text").join(probe, "v")
     else:
-        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        full = texts.join(probe, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+        # By id and text, so that rows of one id meet their own candidates alone.
+        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+        full = texts.join(probe, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")))
     full = full.select("cluster", "size", "v", "n", "digest", "text")
     full = full.mapInArrow(shingles, "cluster long, size long, v long, n long, shingles binary").where(F.col("shingles").isNotNull())
     roots = _small_clusters(full.where(F.col("size") <= task_shingles))

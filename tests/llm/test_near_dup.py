@@ -83,6 +83,13 @@ def test_hot_groups_and_clashing_names(spark, monkeypatch):
         assert {r[0] for r in brute(rows) if r[3]} <= {i for i, _ in left} | {None}
 
 
+def test_one_id_for_many_rows(spark):
+    rows = [(None if i % 2 else 1, t) for i, (_, t) in enumerate(corpus(6, 15))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for task, limit in ((near_dup.TASK_SHINGLES, near_dup.BROADCAST_BYTES), (600, 0)):
+        assert sorted(map(tuple, near_dup.near_duplicates(docs, task, limit).collect()), key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
