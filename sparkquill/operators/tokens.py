@@ -40,6 +40,21 @@ def with_context(docs: DataFrame, array: Column, *keys: str, order: int = 1) ->
     return rows.select(*keys, "pos", F.concat(*before).alias("ctx"), "token")
 
 
+def pair_key() -> Column:
+    """One number for a character ``token`` and the character before it, ``ctx`` (or none): no two pairs share it.
+
+    A join by a number probes an array of longs instead of rows of strings.
+    """
+    before = F.when(F.col("ctx") == "", F.lit(0)).otherwise(F.ascii("ctx") + 1)
+    return before.cast("long") * (1 << 21) + F.ascii("token")
+
+
+def scored(rows: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+    """Rows with (ctx, token) of single characters and the facts of their pair, which are broadcast if they are small."""
+    there = facts.select(pair_key().alias("_pair"), *(c for c in facts.columns if c not in ("ctx", "token")))
+    return rows.withColumn("_pair", pair_key()).join(small(there, name), "_pair").drop("_pair")
+
+
 def limited(rows: DataFrame, n: int) -> DataFrame:
     """The first n tokens of each stream."""
     return rows.where(F.col("pos") < n)

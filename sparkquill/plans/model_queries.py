@@ -23,7 +23,8 @@ FREQ = "b AS (SELECT ctx, token, n, k, 1 + (({t} - k) * n)::BIGINT // (sum(n) OV
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    """The documents over all cores: a character takes far more time than moving it, and a small table has few splits."""
+    return spread(table(spark, d, "documents").select("doc_id", "lang", "text"))
 
 
 def _model(spark, d):
@@ -97,7 +98,7 @@ def e3_binary_frequencies(spark, d):
 
 def e7_cross_entropy(spark, d):
     freqs = _freqs(spark, d).select("ctx", "token", md.ideal_bits(F.col("freq")).alias("bits"))
-    rows = tk.with_context(_docs(spark, d), tk.characters(F.col("text")), "doc_id").join(small(freqs, "bits"), ["ctx", "token"])
+    rows = tk.scored(tk.with_context(_docs(spark, d), tk.characters(F.col("text")), "doc_id"), freqs, "bits")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum("bits"), 4).alias("bits"))
 
 
@@ -169,7 +170,7 @@ def e18_ranks(spark, d):
 
 def _doc_ranks(spark, d):
     ranks = md.ranks(_model(spark, d)).select("ctx", "token", "order")
-    return tk.with_context(_docs(spark, d), tk.characters(F.col("text")), "doc_id").join(small(ranks, "ranks"), ["ctx", "token"])
+    return tk.scored(tk.with_context(_docs(spark, d), tk.characters(F.col("text")), "doc_id"), ranks, "ranks")
 
 
 def e19_packed_size(spark, d):

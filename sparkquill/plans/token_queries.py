@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.operators import bpe
 from sparkquill.operators import tokens as tk
-from sparkquill.session import small, stored, table
+from sparkquill.session import small, spread, stored, table
 
 CHARS = "ch AS (SELECT doc_id, lang, source, unnest(string_split(text, '')) AS token, unnest(range(len(string_split(text, '')))) AS pos FROM documents)"
 WORDS = r"wd AS (SELECT doc_id, lang, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, lang, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents))"
@@ -19,11 +19,11 @@ def _docs(spark, d):
 
 
 def _chars(spark, d, *keys):
-    return tk.tokens(_docs(spark, d), tk.characters(F.col("text")), *(keys or ("doc_id",)))
+    return tk.tokens(spread(_docs(spark, d).select("doc_id", "lang", "source", "text")), tk.characters(F.col("text")), *(keys or ("doc_id",)))
 
 
 def _words(spark, d, *keys):
-    return tk.tokens(_docs(spark, d), tk.word_array(F.col("text")), *(keys or ("doc_id",)))
+    return tk.tokens(spread(_docs(spark, d).select("doc_id", "lang", "source", "text")), tk.word_array(F.col("text")), *(keys or ("doc_id",)))
 
 
 def s1_text_digest(spark, d):

@@ -45,6 +45,14 @@ def test_bitmap_round_trip(spark):
     assert sorted(map(tuple, tk.bitmap_ids(tk.bitmap(ids, "k"), "k").collect())) == sorted(map(tuple, ids.collect()))
 
 
+def test_pair_keys_are_exact(spark):
+    signs = ["", "\0", "a", "\U0010ffff", "\ue000", "é"]
+    pairs = spark.createDataFrame([(a, b) for a in signs for b in signs[1:]], "ctx string, token string")
+    assert pairs.select(tk.pair_key()).distinct().count() == pairs.count() == 30
+    facts = pairs.withColumn("fact", F.concat("ctx", F.lit("|"), "token"))
+    assert all(r.fact == f"{r.ctx}|{r.token}" for r in tk.scored(pairs, facts, "facts").collect())
+
+
 def test_bpe_against_a_plain_trainer(spark):
     draw = random.Random(2)
     docs = [" ".join("".join(draw.choice("abcé") for _ in range(draw.randint(1, 6))) for _ in range(30)) for _ in range(20)] + ["aaaa aaaaa", "", "\x02\x03 \x02\x03"]
