@@ -215,9 +215,28 @@ class Encoder:
                     found.add(k)
         return sorted(found)
 
+    def _cut(self, data: np.ndarray, at: int) -> int:
+        """The first place from ``at`` on where a chunk begins, or the end."""
+        size = 4096
+        while at < len(data):
+            kind = _KIND[data[at - 1 : at + size]]
+            begins = np.flatnonzero((_CHANGES if self.build == "spaced" else _WORDS)[kind[:-1] << 3 | kind[1:]])
+            if len(begins):
+                return at + int(begins[0])
+            at, size = at + size, 2 * size
+        return len(data)
+
     def _encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(bounds) - 1
         special = list(range(n)) if self.build is None else self._special(data, bounds)
+        if not special and n == 1 and len(data) > 2 * BATCH_BYTES:
+            # One long text, in parts that end where chunks do.
+            cuts = [0]
+            while cuts[-1] < len(data):
+                cuts.append(self._cut(data, min(cuts[-1] + BATCH_BYTES, len(data))))
+            parts = [self._batch(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, cuts[1:], strict=False)]
+            ids = np.concatenate(parts)
+            return ids, np.array([0, len(ids)])
         if not special:
             return self._batch(data, bounds)
         # Runs of other texts are encoded by chunks, each special text by itself.

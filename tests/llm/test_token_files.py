@@ -39,6 +39,9 @@ def test_chunks_give_whole_texts_ids(name, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_CHUNK", 5)
     enc._clear()
     assert _encoded(enc, texts) == want
+    plain = _plain(name)
+    long = ["".join(draw.choice(("word", "Caf\u00e9", " ", "  ", "\n", "\n\n", "12", "'s", "\u00e9l", "(", "...", "\t")) for _ in range(9000)) for _ in range(4)] + ["y" * 20_000, " " * 20_000, "ab " * 9000]
+    assert _encoded(enc, long) == [plain(x) for x in long]
     assert _encoded(enc, [None, "", None]) == [[], [], []] and _encoded(enc, []) == []
 
 
