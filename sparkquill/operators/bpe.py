@@ -2,28 +2,31 @@
 
 Words are strings of letters that stand for their UTF-8 bytes (printing bytes for themselves, the others from
 256 on), so the alphabet has 256 letters and no text is unknown. Learning touches the corpus once, to count
-words. A table of at most ``WORDS`` distinct words goes to the driver, where pair counts are kept up to date
-merge by merge; beyond that each merge is an aggregation over the table, whose lineage is cut by a written
-table every few merges. Both give the same merges: ties go to the pair that sorts first.
+words. A table of at most ``WORDS`` distinct words and 2^31 bytes goes to the driver a partition at a time, where
+pair counts are kept up to date merge by merge (``functions.merges``); beyond that each merge is an aggregation
+over the table, whose lineage is cut by a written table every few merges. Both give the same merges: ties go to
+the pair that sorts first.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sparkquill.functions.merges import MOST, Learner
 from sparkquill.operators.tokens import byte_array, word_array
 from sparkquill.session import discard, stored
 
-#: Distinct words that the driver may hold.
-WORDS = 2_000_000
+#: Distinct words that the driver may hold, in files of its temporary folder: some 6 bytes a letter.
+WORDS = 1 << 27
 #: Tokens beside the bytes and merges of a vocabulary.
 SPECIAL = ("[UNK]",)
-_OPEN, _CLOSE = "\x02", "\x03"
+_OPEN, _CLOSE, _END = "\x02", "\x03", "\n"
 
 
 def _letters() -> list[str]:
@@ -53,46 +56,33 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(marked).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _learn_here(counted: dict[str, int], merges: int, least: int) -> list[tuple[str, str]]:
-    words, numbers = [list(lettered(w)) for w in counted], list(counted.values())
-    pairs: dict[tuple[str, str], int] = defaultdict(int)
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for k, (w, n) in enumerate(zip(words, numbers, strict=True)):
-        for pair in zip(w, w[1:], strict=False):
-            pairs[pair] += n
-            where[pair].add(k)
-    heap = [(-n, *pair) for pair, n in pairs.items() if n >= least]
-    heapq.heapify(heap)
-    found: list[tuple[str, str]] = []
-    while heap and len(found) < merges:
-        n, a, b = heapq.heappop(heap)
-        if pairs.get((a, b), 0) != -n:
-            continue  # an older count; the present one was pushed when it changed
-        found.append((a, b))
-        changed: dict[tuple[str, str], int] = defaultdict(int)
-        for k in where.pop((a, b)):
-            w, times = words[k], numbers[k]
-            new, i = [], 0
-            while i < len(w):
-                if w[i] == a and i + 1 < len(w) and w[i + 1] == b:
-                    new.append(a + b)
-                    i += 2
-                else:
-                    new.append(w[i])
-                    i += 1
-            for pair in zip(w, w[1:], strict=False):
-                changed[pair] -= times
-            for pair in zip(new, new[1:], strict=False):
-                changed[pair] += times
-                where[pair].add(k)
-            words[k] = new
-        for pair, d in changed.items():
-            if d:
-                pairs[pair] += d
-                if pairs[pair] >= least:
-                    heapq.heappush(heap, (-pairs[pair], *pair))
-        pairs.pop((a, b), None)
-    return found
+def _packed(counted: DataFrame) -> DataFrame:
+    """(letters, counts, slots): each batch's words by falling count, ended by a line end, which no word holds."""
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(1).to_numpy(zero_copy_only=False)
+            order = np.argsort(-n, kind="stable")
+            words, n = batch.column(0).cast(pa.string()).take(pa.array(order)), n[order]
+            ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+            out = np.full(ends[-1] - ends[0] + len(words), ord(_END), np.uint8)
+            stops = ends[1:] - ends[0] + np.arange(len(words))
+            inside = np.ones(len(out), bool)
+            inside[stops] = False
+            out[inside] = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            last = np.flatnonzero(np.r_[n[1:] != n[:-1], True])
+            sizes = np.diff(np.r_[-1, stops[last]])
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([n[last]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))], ["letters", "counts", "slots"])
+
+    return counted.select("word", "n").mapInArrow(pack, "letters binary, counts array<long>, slots array<long>")
+
+
+def _learn_here(counted: DataFrame, slots: int, merges: int, least: int, **how: int) -> list[tuple[str, str]]:
+    """Words reach the driver a partition at a time."""
+    parts = ((bytes(r["letters"]), r["counts"], r["slots"]) for r in _packed(counted).toLocalIterator())
+    return Learner(slots, parts, LETTERS, ord(_END), len(LETTERS) + merges, **how).learn(merges, least)
 
 
 def _parts(word: Column) -> Column:
@@ -122,14 +112,18 @@ def _learn_apart(counted: DataFrame, merges: int, least: int, keep_every: int) -
 
 def learn(docs: DataFrame, vocabulary: int = 32_000, least: int = 2, words: int = WORDS, keep_every: int = 8) -> list[tuple[str, str]]:
     """The merges of a vocabulary, in order; they end early when no pair occurs ``least`` times."""
+    return learn_counted(stored(word_counts(docs), "bpe-words"), vocabulary, least, words, keep_every)
+
+
+def learn_counted(counted: DataFrame, vocabulary: int = 32_000, least: int = 2, words: int = WORDS, keep_every: int = 8) -> list[tuple[str, str]]:
+    """As ``learn``, from a stored table (word, n)."""
     merges = vocabulary - len(LETTERS) - len(SPECIAL)
     if merges < 0:
         raise ValueError("a vocabulary holds the bytes and the special tokens at least")
-    counted = stored(word_counts(docs), "bpe-words")
-    if counted.count() > words:
+    size = counted.agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word") + 1).alias("slots")).first()
+    if size["words"] > words or (size["slots"] or 0) > MOST:
         return _learn_apart(counted, merges, least, keep_every)
-    got = counted.toArrow()  # `words` rows at most
-    return _learn_here(dict(sorted(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True))), merges, least)
+    return _learn_here(counted, size["slots"] or 0, merges, least)
 
 
 def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -154,18 +148,19 @@ def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return [x for x in parts if x is not None]
 
 
-def encode(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """(word, pieces) of distinct words; the merges are a bounded list."""
+def encode(words: DataFrame, merges: list[tuple[str, str]], *kept: str) -> DataFrame:
+    """(word, kept, pieces) of distinct words; the merges are a bounded list."""
     ranks = {pair: i for i, pair in enumerate(merges)}
     sent = words.sparkSession.sparkContext.broadcast(ranks)
+    own = words.select("word", *kept)
 
     def apply(batches):
-        own = sent.value
+        ranks = sent.value
         for batch in batches:
-            pieces = [encode_word(w, own) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.list_(pa.string()))], ["word", "pieces"])
+            pieces = [encode_word(w, ranks) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.list_(pa.string()))], ["word", *kept, "pieces"])
 
-    return words.select("word").mapInArrow(apply, "word string, pieces array<string>")
+    return own.mapInArrow(apply, T.StructType([*own.schema.fields, T.StructField("pieces", T.ArrayType(T.StringType()))]))
 
 
 def canonical_words(text: str, pieces: list[str], ranks: dict[tuple[str, str], int], known: dict[str, list[str]]) -> bool | None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkquill import streaming
 from sparkquill.functions import bits
+from sparkquill.functions.merges import Learner
 from sparkquill.operators import bpe, codecs
 from sparkquill.operators import model as md
 from sparkquill.operators import tokens as tk
@@ -111,6 +112,66 @@ def test_bpe_against_a_plain_trainer(spark):
     assert bpe.encode_word("", ranks) == [] and len(bpe.encode_word("ab" * 50_000, ranks)) < 100_000
 
 
+@pytest.fixture(scope="module")
+def many_words(spark, tmp_path_factory):
+    """Tables whose documents hold 2,100,000 distinct words, more than the driver once took."""
+    at = str(tmp_path_factory.mktemp("many"))
+    numbers = F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999), lambda x: x.cast("string"))
+    spark.range(2100).select(F.col("id").alias("doc_id"), F.array_join(numbers, " ").alias("text")).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, "12 99 \u00e9t\u00e9"), (2, ""), (3, "  20999 1 ")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
+def _no_job_a_merge(*_):
+    raise AssertionError("a job for each merge")
+
+
+def test_bpe_learns_from_millions_of_words_without_a_job_a_merge(spark, many_words, monkeypatch):
+    monkeypatch.setattr(bpe, "_learn_apart", _no_job_a_merge)
+    pairs = {}
+    for x in range(2_100_000):
+        w = " " * (x % 1000 > 0) + str(x)
+        for p in zip(w, w[1:], strict=False):
+            pairs[p] = pairs.get(p, 0) + 1
+    a, b = min(pairs, key=lambda p: (-pairs[p], bpe.lettered(p[0]), p[1]))
+    merges = bpe.learn(spark.read.parquet(f"{many_words}/documents.parquet"), 257 + 5)
+    assert len(merges) == 5 and merges[0] == (bpe.lettered(a), b)
+
+
+def test_learner_keeps_exact_counts_in_many_phases():
+    draw = random.Random(5)
+    for step, places, part in ((5, 1, 1), (64, 50, 3), (1 << 20, 1 << 20, 16)):
+        words = {"".join(draw.choice("ab") for _ in range(draw.randint(1, 9))): draw.randint(1, 4) for _ in range(60)}
+        blobs = [(w.encode() + b"\n", [n], [len(w) + 1]) for w, n in words.items()]
+        learner = Learner(sum(x[2][0] for x in blobs), blobs, bpe.LETTERS, 10, 256 + 40, step, places, part)
+        learner.most = places
+        split, want = {w: list(w) for w in words}, []
+        for k in range(40):
+            pairs = {}
+            for w, n in words.items():
+                for p in zip(split[w], split[w][1:], strict=False):
+                    pairs[p] = pairs.get(p, 0) + n
+            if k == 4:  # what a pass finds again changes nothing
+                fresh = Learner(learner.slots.size - 1, blobs, bpe.LETTERS, 10, 256 + 40, step, 1 << 20, 10**9)
+                assert fresh.learn(4, 2) == want
+                before = dict(fresh.n)
+                fresh._again(fresh.ids["".join(want[-1])])
+                own = lambda n: {(fresh.names[k >> 32], fresh.names[k & 0xFFFFFFFF]): x for k, x in n.items() if x >= 2}
+                assert own(fresh.n) == own(before) == {p: n for p, n in pairs.items() if n >= 2}
+            best = min((p for p in pairs if pairs[p] >= 2), key=lambda p: (-pairs[p], p), default=None)
+            if best is None:
+                break
+            want.append(best)
+            for w, x in split.items():
+                i, out = 0, []
+                while i < len(x):
+                    both = tuple(x[i : i + 2]) == best
+                    out.append("".join(x[i : i + 1 + both]))
+                    i += 1 + both
+                split[w] = out
+        assert learner.learn(40, 2) == want
+
+
 def test_codec_over_seen_and_unseen(spark):
     docs = spark.createDataFrame([(1, "abracadabra"), (2, ""), (3, "banana band"), (4, "a")], "doc_id long, text string")
     for order in (0, 1, 2):
