@@ -10,7 +10,7 @@ from sparkquill.functions.merges import Learner
 from sparkquill.operators import bpe, codecs
 from sparkquill.operators import model as md
 from sparkquill.operators import tokens as tk
-from sparkquill.plans import token_queries
+from sparkquill.plans import source_queries, token_queries
 
 
 def test_lanes_against_a_plain_split(spark):
@@ -138,6 +138,14 @@ def test_bpe_learns_from_millions_of_words_without_a_job_a_merge(spark, many_wor
     assert len(merges) == 5 and merges[0] == (bpe.lettered(a), b)
 
 
+def test_local_round_trip_over_millions_of_words(spark, many_words, monkeypatch):
+    monkeypatch.setattr(bpe, "_learn_apart", _no_job_a_merge)
+    monkeypatch.setattr(source_queries.bpe, "learn", lambda docs, size, learn=bpe.learn: learn(docs, size - 1700))  # 43 merges are enough here
+    got = source_queries.t18_local_round_trip(spark, many_words).collect()
+    assert sorted(r.item_id for r in got) == [1, 2, 3]
+    assert all(r.whole and r.local and r.changed_local == r.changed_whole for r in got)
+
+
 def test_learner_keeps_exact_counts_in_many_phases():
     draw = random.Random(5)
     for step, places, part in ((5, 1, 1), (64, 50, 3), (1 << 20, 1 << 20, 16)):
