@@ -21,6 +21,8 @@ MOST = (1 << 31) - 2
 STEP, HELD = 1 << 21, 8 << 20
 #: New places of a phase; a phase tracks pairs down to this part of the most frequent one's count.
 PLACES, PART = 1 << 24, 16
+#: Kinds of pairs that a pass counts in one table; where there may be more, they are sorted.
+TABLE = 1 << 22
 
 
 def _array(n: int, dtype) -> np.ndarray:
@@ -41,10 +43,10 @@ def _groups(kinds: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Learner:
     """Words as slots. ``parts`` gives (letters as bytes, each word ended by ``end``; counts; slots of each count)."""
 
-    def __init__(self, slots: int, parts: Iterable[tuple[bytes, list[int], list[int]]], letters: list[str], end: int, tokens: int, step: int = STEP, places: int = PLACES, part: int = PART):
+    def __init__(self, slots: int, parts: Iterable[tuple[bytes, list[int], list[int]]], letters: list[str], end: int, tokens: int, step: int = STEP, places: int = PLACES, part: int = PART, table: int = TABLE):
         kind = np.uint16 if tokens < 1 << 15 else np.uint32
         self.dtype, self.flag = kind, 1 << (np.dtype(kind).itemsize * 8 - 1)
-        self.step, self.most, self.part = step, max(places, slots // 8), part
+        self.step, self.most, self.part, self.table = step, max(places, slots // 8), part, table
         self.slots = _array(slots + 1, kind)
         self.names = ["", *letters]
         self.ids = {x: i for i, x in enumerate(self.names)}
@@ -68,9 +70,9 @@ class Learner:
         """How often the words at these places occur."""
         return self.counts[np.searchsorted(self.starts, at.astype(np.int32, copy=False), "right") - 1]
 
-    def _pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places and keys of all neighbours, step by step."""
-        before_at, before = 0, 0
+    def _pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of all neighbours, their keys (of both numbers, to the base of all tokens) and their words' counts, step by step."""
+        before_at, before, base = 0, 0, len(self.names)
         for i in range(0, len(self.slots), self.step):
             own = self.slots[i : i + self.step]
             at = np.flatnonzero(own < self.flag)
@@ -79,20 +81,41 @@ class Learner:
             token = own[at].astype(np.int64)
             at = np.r_[before_at, at + i]
             token = np.r_[before, token]
+            low, high = at[0], at[-1]
             before_at, before = at[-1], token[-1]
             both = np.flatnonzero((token[:-1] != 0) & (token[1:] != 0))
-            yield at[both].astype(np.int32), token[both] << 32 | token[both + 1]
-
-    def _phase(self, least: int) -> bool:
-        """Count all pairs and track the frequent ones; whether there are any."""
+            if not len(both):
+                continue
+            first, last = np.searchsorted(self.starts, [low, high], "right") - 1
+            edges = np.clip(self.starts[max(first, 0) : last + 1], low, high)
+            edges[0] = low
+            times = np.repeat(self.counts[max(first, 0) : last + 1], np.diff(np.r_[edges, high]))
+            at = at[both]
+            yield at.astype(np.int32), token[both] * base + token[both + 1], times[at - low]
+
+    def _counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of all pairs, rising, how often they occur, and their places."""
+        kinds = len(self.names) ** 2
+        if kinds <= self.table:
+            sums, sizes = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
+            for _, own, times in self._pairs():
+                np.add.at(sums, own, times)
+                sizes += np.bincount(own, minlength=kinds)
+            keys = np.flatnonzero(sizes)
+            return keys, sums[keys], sizes[keys]
         keys, sums, sizes = (np.zeros(0, np.int64) for _ in range(3))
-        for at, own in self._pairs():
-            order, starts, kinds, n = _groups(own, self._times(at))
+        for _, own, times in self._pairs():
+            order, starts, kinds, n = _groups(own, times)
             size = np.diff(np.r_[starts, len(order)])
             both = np.r_[keys, kinds]
             order, starts, keys, n = _groups(both, np.r_[sums, n])
             sizes = np.add.reduceat(np.r_[sizes, size][order], starts) if len(order) else sizes
             sums = n
+        return keys, sums, sizes
+
+    def _phase(self, least: int) -> bool:
+        """Count all pairs and track the frequent ones; whether there are any."""
+        keys, sums, sizes = self._counted()
         self.heap, self.n, self.at, self.new = [], {}, {}, 0
         top = int(sums.max(initial=0))
         if top < least:
@@ -100,18 +123,29 @@ class Learner:
         self.least = max(least, top // self.part)
         some = sums >= self.least
         keys, sums, sizes = keys[some], sums[some], sizes[some]
+        base = len(self.names)
+        number = np.uint16 if len(keys) < 1 << 16 else np.int32  # two bytes are sorted by their value, without comparing
+        rank = None
+        if base**2 <= self.table:
+            rank = np.full(base**2, -1, np.int32)
+            rank[keys] = np.arange(len(keys))
         ends = np.cumsum(sizes)
         filled = ends - sizes
         places = _array(int(ends[-1]), np.int32)
-        for at, own in self._pairs():
-            which = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            there = np.flatnonzero(keys[which] == own)
-            which = which[there].astype(np.int32)
-            order, starts, kinds, _ = _groups(which, which)
-            size = np.diff(np.r_[starts, len(order)])
-            to = np.repeat(filled[kinds] - starts, size) + np.arange(len(order))
+        for at, own, _ in self._pairs():
+            if rank is None:
+                which = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                there = np.flatnonzero(keys[which] == own)
+            else:
+                which = rank[own]
+                there = np.flatnonzero(which >= 0)
+            which = which[there].astype(number)
+            order = np.argsort(which, kind="stable")
+            size = np.bincount(which, minlength=len(keys))
+            to = np.repeat(filled - np.cumsum(size) + size, size) + np.arange(len(order))
             places[to] = at[there[order]]
-            filled[kinds] += size
+            filled += size
+        keys = keys // base << 32 | keys % base
         for key, n, size, end in zip(keys.tolist(), sums.tolist(), sizes.tolist(), ends.tolist(), strict=True):
             self._track(key, n, places[end - size : end])
         self.new = 0

@@ -11,19 +11,23 @@ the pair that sorts first.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkquill.functions.merges import MOST, Learner
-from sparkquill.operators.tokens import byte_array, word_array
-from sparkquill.session import discard, stored
+from sparkquill.operators.tokens import byte_array
+from sparkquill.session import discard, spread, stored
 
 #: Distinct words that the driver may hold, in files of its temporary folder: some 6 bytes a letter.
 WORDS = 1 << 27
+#: Bytes of texts whose words are counted at once, and distinct words that a check of texts keeps.
+BATCH, KNOWN = 32 << 20, 200_000
 #: Tokens beside the bytes and merges of a vocabulary.
 SPECIAL = ("[UNK]",)
 _OPEN, _CLOSE, _END = "\x02", "\x03", "\n"
@@ -49,11 +53,48 @@ def unlettered(pieces: list[str]) -> str:
     return bytes([_BYTES[x] for p in pieces for x in p]).decode()
 
 
+def _slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of texts of so many bytes at most, or of one text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most, "right")))
+        yield texts.slice(i, j - i)
+        i = j
+
+
+def _text_words(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """All words of texts between runs of ASCII white space, and the first one of each text that has any."""
+    split = pc.ascii_split_whitespace(texts.drop_null())
+    words, ends = split.flatten(), np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
+    full = pc.not_equal(words, "")
+    some = full.to_numpy(zero_copy_only=False)
+    if not some.all():  # empty ones before the first word and after the last
+        words, ends = words.filter(full), np.r_[0, np.cumsum(some)][ends]
+    return words, words.take(pa.array(ends[:-1][np.diff(ends) > 0]))
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all documents; each word but a document's first begins with a space."""
-    words = word_array(F.col(text))
-    marked = F.transform(words, lambda w, i: F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w))
-    return docs.select(F.explode(marked).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word, n) over all documents; each word but a document's first begins with a space.
+
+    White space is that of ``\\s`` in Java's patterns. Words are counted where texts lie, before they are dealt out.
+    """
+
+    def count(batches):
+        for batch in batches:
+            for texts in _slices(batch.column(0), BATCH):
+                every, first = _text_words(texts)
+                of = dict(zip(*(pc.value_counts(first).field(k).to_pylist() for k in (0, 1)), strict=True))
+                found = pc.value_counts(every)
+                words, n = found.field(0), found.field(1).to_numpy(zero_copy_only=False).copy()
+                if of:
+                    names = pa.array(list(of), words.type)
+                    n[pc.index_in(names, words).to_numpy(zero_copy_only=False)] -= list(of.values())
+                    later = pa.array(n > 0)
+                    marked = pc.binary_join_element_wise("", words.filter(later), " ")
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([marked, names]), pa.array(np.r_[n[n > 0], list(of.values())], pa.int64())], ["word", "n"])
+
+    return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _packed(counted: DataFrame) -> DataFrame:
@@ -81,7 +122,7 @@ def _packed(counted: DataFrame) -> DataFrame:
 
 def _learn_here(counted: DataFrame, slots: int, merges: int, least: int, **how: int) -> list[tuple[str, str]]:
     """Words reach the driver a partition at a time."""
-    parts = ((bytes(r["letters"]), r["counts"], r["slots"]) for r in _packed(counted).toLocalIterator())
+    parts = ((bytes(r["letters"]), r["counts"], r["slots"]) for r in _packed(counted).toLocalIterator(prefetchPartitions=True))
     return Learner(slots, parts, LETTERS, ord(_END), len(LETTERS) + merges, **how).learn(merges, least)
 
 
@@ -163,31 +204,42 @@ def encode(words: DataFrame, merges: list[tuple[str, str]], *kept: str) -> DataF
     return own.mapInArrow(apply, T.StructType([*own.schema.fields, T.StructField("pieces", T.ArrayType(T.StringType()))]))
 
 
+def _known_word(word: str, ranks: dict[tuple[str, str], int], known: dict[str, list[str]]) -> list[str]:
+    """A word's pieces, from a bounded table if they are there."""
+    pieces = known.get(word)
+    if pieces is None:
+        pieces = encode_word(word, ranks)
+        if len(word) <= 256:
+            if len(known) >= KNOWN:
+                known.clear()
+            known[word] = pieces
+    return pieces
+
+
 def canonical_words(text: str, pieces: list[str], ranks: dict[tuple[str, str], int], known: dict[str, list[str]]) -> bool | None:
     """Whether pieces are those of their text, by its words alone; None where pieces do not keep to words.
 
     Encoding never joins words, so pieces that end where words end are canonical if each word's are.
     """
-    at, taken = 0, []
+    at, same = 0, True
     for k, w in enumerate(text.split()):
-        whole = lettered(" " * (k > 0) + w)
-        own: list[str] = []
-        while at < len(pieces) and sum(map(len, own)) < len(whole):
-            own.append(pieces[at])
+        want = _known_word(" " * (k > 0) + w, ranks, known)
+        if pieces[at : at + len(want)] == want:
+            at += len(want)
+            continue
+        whole, start, size = "".join(want), at, 0
+        while at < len(pieces) and size < len(whole):
+            size += len(pieces[at])
             at += 1
-        if "".join(own) != whole:
+        if "".join(pieces[start:at]) != whole:
             return None
-        taken.append((" " * (k > 0) + w, own))
-    for w, own in taken:
-        if w not in known:
-            known[w] = encode_word(w, ranks)
-        if known[w] != own:
-            return False
-    return at == len(pieces)
+        same = False
+    return same and at == len(pieces)
 
 
-def encode_text(text: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    return [p for k, w in enumerate(text.split()) for p in encode_word(" " * (k > 0) + w, ranks)]
+def encode_text(text: str, ranks: dict[tuple[str, str], int], known: dict[str, list[str]] | None = None) -> list[str]:
+    known = {} if known is None else known
+    return [p for k, w in enumerate(text.split()) for p in _known_word(" " * (k > 0) + w, ranks, known)]
 
 
 def round_trips(docs: DataFrame, key: str, merges: list[tuple[str, str]]) -> DataFrame:
@@ -204,19 +256,18 @@ def round_trips(docs: DataFrame, key: str, merges: list[tuple[str, str]]) -> Dat
             rows = []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
-                pieces = encode_text(text, ranks)
+                pieces = encode_text(text, ranks, known)
                 cut = next((i for i, p in enumerate(pieces) if len(p) > 1), None)
                 changed = pieces if cut is None else [*pieces[:cut], pieces[cut][0], pieces[cut][1:], *pieces[cut + 1 :]]
                 row = [name, len(pieces)]
                 for some in (pieces, changed):
-                    full = some == encode_text(unlettered(some), ranks) if some else True
-                    local = canonical_words(unlettered(some) if some else "", some, ranks, known)
+                    back = unlettered(some)
+                    full = some == encode_text(back, ranks, known)
+                    local = canonical_words(back, some, ranks, known)
                     row += [full if local is None else local, full]
                 rows.append(row)
-                if len(known) > 200_000:
-                    known.clear()
             cols = zip(*rows, strict=True) if rows else [[]] * 6
             kinds = (batch.schema.field(0).type, pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [key, "n_pieces", "local", "whole", "changed_local", "changed_whole"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_pieces long, local boolean, whole boolean, changed_local boolean, changed_whole boolean")
+    return spread(docs.select(key, "text")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_pieces long, local boolean, whole boolean, changed_local boolean, changed_whole boolean")

@@ -1,11 +1,13 @@
 import hashlib
+import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkquill import streaming
-from sparkquill.functions import bits
+from sparkquill.functions import bits, merges
 from sparkquill.functions.merges import Learner
 from sparkquill.operators import bpe, codecs
 from sparkquill.operators import model as md
@@ -158,6 +160,50 @@ def test_local_round_trip_over_millions_of_words(spark, many_words, monkeypatch)
     assert all(r.whole and r.local and r.changed_local == r.changed_whole for r in got)
 
 
+def test_words_are_counted_before_they_are_dealt_out(spark, monkeypatch):
+    odd = ["", None, "  ", " a", "a a  a ", "x\u00a0y \u0085w"] + [f"{chr(i)}k\u00e9{chr(i)}{chr(i)}k k{chr(i)} " for i in range(300)]
+    docs = spark.createDataFrame([(x,) for x in odd], "text string").coalesce(2)
+    counted = bpe.word_counts(docs)
+    assert "Generate" not in counted._jdf.queryExecution().toString()  # no row for each place of a word
+    words = F.transform(tk.word_array(F.col("text")), lambda w, i: F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w))
+    want = docs.select(F.explode(words).alias("word")).groupBy("word").count()
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, want.collect()))
+    texts = pa.array(odd * 3)
+    for most in (1, 7, 100, 1 << 20):  # slices keep every text, and their bytes to the bound
+        parts = list(bpe._slices(texts.slice(5), most))
+        assert pa.concat_arrays(parts).equals(texts.slice(5))
+        assert all(len(p) == 1 or sum(len((x or "").encode()) for x in p.to_pylist()) <= most for p in parts)
+
+
+def test_learner_counts_pairs_in_a_table(monkeypatch):
+    words = {"".join(x): 1 + i % 7 for i, x in enumerate(itertools.product("abc", repeat=6))}
+    blobs = [(w.encode() + b"\n", [n], [len(w) + 1]) for w, n in words.items()]
+    slots = sum(x[2][0] for x in blobs)
+    make = lambda **how: Learner(slots, blobs, bpe.LETTERS, 10, 256 + 60, 64, 50, 2, **how)
+    assert make().learn(60, 2) == make(table=0).learn(60, 2) == make(table=70_000).learn(60, 2)
+    learner = make()
+    monkeypatch.setattr(merges, "_groups", None)  # nothing is sorted to count all pairs
+    assert learner._phase(2)
+
+
+def test_round_trip_check_encodes_a_word_once_and_takes_long_words(spark, tmp_path, monkeypatch):
+    ranks, calls, encode = {("a", "b"): 0}, [], bpe.encode_word
+    monkeypatch.setattr(bpe, "encode_word", lambda w, r: calls.append(w) or encode(w, r))
+    known, text = {}, " ".join(["ab", "b", "ab"] * 50)
+    pieces = bpe.encode_text(text, ranks, known)
+    assert bpe.canonical_words(text, pieces, ranks, known) and sorted(calls) == [" ab", " b", "ab"]
+    assert bpe.canonical_words(text, ["a", "b", *pieces[1:]], ranks, known) is False
+    assert bpe.canonical_words(text, pieces[:-1], ranks, known) is None and bpe.canonical_words(text, [*pieces, "a"], ranks, known) is False
+    assert bpe.canonical_words("ab b", ["ab" + bpe.lettered(" b")], ranks, known) is None
+    monkeypatch.setattr(bpe, "KNOWN", 2)
+    assert bpe.encode_text(text, ranks, known := {}) == pieces and len(known) <= 2
+    long = "ab" * 100_000  # some hundred times as long before, when each piece summed up those before it
+    assert bpe.canonical_words(long, ["a", "b"] * 100_000, {}, {}) and bpe.canonical_words(long, ["a", "b"] * 100_000, ranks, {}) is False
+    spark.createDataFrame([(i, text) for i in range(40)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/items")
+    got = bpe.round_trips(spark.read.parquet(f"{tmp_path}/items"), "item_id", [("a", "b")])
+    assert got.select(F.spark_partition_id()).distinct().count() > 1 and all(r[1:] == (len(pieces), True, True, False, False) for r in got.collect())
+
+
 def test_learner_keeps_exact_counts_in_many_phases():
     draw = random.Random(5)
     for step, places, part in ((5, 1, 1), (64, 50, 3), (1 << 20, 1 << 20, 16)):
